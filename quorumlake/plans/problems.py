@@ -113,3 +113,46 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_periods": p2_periods, "p3_found": p3_found, "p3_stages": p3_stages, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p7_found": p7_found}
+
+
+_DAY = "coalesce(try_strptime(left({c}, 10), '%Y-%m-%d'), try_strptime(left({c}, 10), '%d/%m/%Y'), try_strptime(left({c}, 8), '%Y%m%d'))::date"
+_MOMENT = "coalesce(try_cast(replace({c}, 'T', ' ') as timestamp), try_cast(replace({c}, 'T', ' ') || ':00' as timestamp), try_strptime({c}, '%d/%m/%Y'), try_strptime({c}, '%Y%m%d'))"
+
+
+def _day(c: str) -> str:
+    return _DAY.format(c=c)
+
+
+def _moment(c: str) -> str:
+    return _MOMENT.format(c=c)
+
+
+_PERIODS = f"""with iv as (
+ select 'dim_governments' t, source_person_id::varchar k, {_day('start_date')} s, {_day('finish_date')} e from dim_governments where finish_date is null or trim(finish_date)='' or {_day('finish_date')} is not null
+ union all select 'coalition_membership', party_id||':'||knesset_num, "start","end" from coalition_membership
+ union all select 'bridge_member_factions', member_id::varchar, {_day('begin_date')}, term_end from bridge_member_factions join knesset_terms using(knesset_num)),
+ ok as (select distinct t,k,s,case when e is null or year(e)>=9999 then date '9999-12-31' else e end e from iv where s is not null and (e is null or e>s)),
+ m as (select *, max(e) over (partition by t,k order by s,e rows between unbounded preceding and 1 preceding) pe from ok),
+ n as (select *, sum(case when pe is null or s>pe then 1 else 0 end) over (partition by t,k order by s,e) p from m),
+ g as (select t,k,p,min(s) f, max(e) u, count(*) c from n group by all),
+ l as (select *, lead(f) over (partition by t,k order by f) nf from g)"""
+_P2 = _PERIODS + """
+ select t source_table,k entity_key,'merged' kind,f::varchar from_date, case when u=date '9999-12-31' then '' else u::varchar end to_date from l where c>1
+ union all select t,k,'gap',u::varchar,nf::varchar from l where nf is not null"""
+_P2_PERIODS = _PERIODS + " select t source_table, k entity_key, f::varchar from_date, case when u = date '9999-12-31' then '' else u::varchar end to_date from l"
+_P5 = """with v as (select vote_id, min(loaded_at) f, bool_or(detail_state='deleted') g from fact_votes group by 1),
+ b as (select bill_id, min(loaded_at) f, bool_or(detail_state='deleted') g from dim_bills group by 1),
+ r as (select 'bridge_vote_bills' table_name,'bill_id' column_name, x.vote_id::varchar row_key, x.bill_id::varchar missing_key, case when b.bill_id is null then 'missing' when g then 'deleted' when f>x.loaded_at then 'late' end reason, strftime(x.loaded_at,'%Y-%m') period from bridge_vote_bills x left join b using(bill_id) where x.bill_id is not null
+ union all select 'fact_ballots','vote_id',ballot_id,x.vote_id::varchar,case when v.vote_id is null then 'missing' when g then 'deleted' when f>x.loaded_at then 'late' end,strftime(x.loaded_at,'%Y-%m') from fact_ballots x left join v using(vote_id) where x.vote_id is not null
+ union all select 'fact_ballots','member_id',ballot_id,x.member_id::varchar,'missing',strftime(x.loaded_at,'%Y-%m') from fact_ballots x anti join dim_members using(member_id) where x.member_id is not null
+ union all select 'bridge_bill_concepts','concept_id',bill_id::varchar,concept_id,'missing',strftime(x.loaded_at,'%Y-%m') from bridge_bill_concepts x anti join dim_concepts using(concept_id) where concept_id is not null)
+ select distinct * from r where reason is not null"""
+_P7 = f"""with v as (select vote_id, max({_moment('vote_datetime')}) vt, max(knesset_num) kn from fact_votes group by 1 having vt is not null),
+ e as (select distinct ballot_id, member_id, vt, kn from fact_ballots join v using(vote_id) where (source_faction_name is null or trim(source_faction_name)='') and member_id is not null),
+ s as (select member_id, {_moment('begin_date')} b, faction_name, knesset_num from bridge_member_factions),
+ s1 as (select * from s where b is not null qualify row_number() over (partition by member_id,b order by knesset_num desc nulls last, faction_name desc nulls last)=1),
+ j as (select e.*, s1.b, s1.faction_name fn from e asof left join s1 on e.member_id=s1.member_id and e.vt>=s1.b),
+ k as (select distinct faction_name, l.knesset_num kn, c."start" cs, c."end" ce from faction_lineage l join coalition_membership c using(party_id,knesset_num))
+ select ballot_id, coalesce(b::date::varchar,'') begin_day, coalesce(max(cs)::varchar,'') coalition_start from j left join k on j.fn=k.faction_name and j.kn=k.kn and vt::date>=cs and (ce is null or vt::date<ce) group by ballot_id,b"""
+
+ORACLE_SQL = {"p2_found": _P2, "p2_periods": _P2_PERIODS, "p5_found": _P5, "p7_found": _P7}
