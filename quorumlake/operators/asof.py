@@ -64,7 +64,7 @@ def asof_left_bucketed(events: DataFrame, versions: DataFrame, key: str, at: str
         import pyarrow.compute as pc
 
         db = duckdb.connect(":memory:", config={"threads": 1})
-        here, loaded = None, None
+        here, loaded, ready = None, None, False
 
         def join(part):
             db.register("e", part)
@@ -84,8 +84,7 @@ def asof_left_bucketed(events: DataFrame, versions: DataFrame, key: str, at: str
                 new = part.filter(pc.equal(side, 0)).column("__v")
                 if len(new):
                     rows = pa.Table.from_batches([x for x in pa.Table.from_arrays([new], ["v"]).flatten().rename_columns([f.name for f in new.type]).to_batches()])
-                    loaded = rows if loaded is None else pa.concat_tables([loaded, rows])
-                    db.execute("drop table if exists v")
+                    loaded, ready = rows if loaded is None else pa.concat_tables([loaded, rows]), False
                 asked = part.filter(pc.equal(side, 1)).column("__e")
                 if not len(asked):
                     continue
@@ -95,10 +94,11 @@ def asof_left_bucketed(events: DataFrame, versions: DataFrame, key: str, at: str
                     for name, kind in zip(carried_columns, types):
                         out = out.append_column(name, pa.nulls(len(rows), kind))
                 else:
-                    if not db.execute("select 1 from information_schema.tables where table_name = 'v'").fetchone():
+                    if not ready:
                         db.register("v_in", loaded)
-                        db.execute("create table v as select * from v_in")
+                        db.execute("create or replace table v as select * from v_in").fetchall()
                         db.unregister("v_in")
+                        ready = True
                     out = join(rows)
                 yield from out.cast(wanted).to_batches()
 
