@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from quorumlake.plans import problems
+from quorumlake.plans import oracle, pages_catalogue, problems
 
-FLAGSHIP = "p7_found"
+FLAGSHIP = "q41_party_votes"
 
 
 def queries() -> dict:
-    return {**problems.QUERIES}
+    return {**problems.QUERIES, **pages_catalogue.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**problems.ORACLE_SQL}
+    return {**problems.ORACLE_SQL, **oracle.ORACLE_SQL}
