@@ -18,6 +18,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.session import materialize
+
 # Keys of the Hebrew keyboard under the Latin ones, as they occur in the records
 # (fixed values; some layouts exchange the letters of s and d, which the edit
 # distance repairs).
@@ -65,11 +67,6 @@ def _clean(text: Column, profile: ListProfile) -> Column:
     return F.regexp_replace(x, r"^[\s\"“”(\[]+|[\s\"“”)\]*,:;\-–]+$", "")
 
 
-def _cut(text: Column) -> Column:
-    """Whether a value ends in an ellipsis."""
-    return text.rlike(r"(…|\.\.+)[\s\p{Z}\p{Cf}]*$")
-
-
 def _tokens(clean: Column) -> Column:
     """Words and numbers; quotes inside a word belong to it, as does a final geresh."""
     found = F.regexp_extract_all(clean, F.lit(r"(\p{N}+|\p{L}[\p{L}\p{M}]*(?:[\"'״׳][\p{L}\p{M}]+)*['׳]?)"), 1)
@@ -151,55 +148,52 @@ def map_to_list(values: DataFrame, value: str, entries: DataFrame, entry: str, p
     everything to ''; an empty table gives no rows. ``entries`` must be a reference
     list, but nothing is broadcast by hand: the planner decides by size.
     """
+    spark = values.sparkSession
     ref = entries.select(F.col(entry).alias("entry")).where(F.col("entry").rlike(r"[^\s\p{Z}\p{Cf}]")).distinct()
     ref = ref.withColumn("clean", _clean(F.col("entry"), ListProfile())).withColumn("tokens", _tokens(F.col("clean"))).where(F.size("tokens") > 0)
-    generic = values.sparkSession.createDataFrame([(w,) for w in (*profile.generic, *profile.marked)], "word string").select(_full(F.col("word")).alias("full"), _stem(F.col("word")).alias("stem"), F.col("word").isin(*profile.marked).alias("marked"))
+    generic = spark.createDataFrame([(w,) for w in (*profile.generic, *profile.marked)], "word string").select(_full(F.col("word")).alias("full"), _stem(F.col("word")).alias("stem"), F.col("word").isin(*profile.marked).alias("marked"))
     plain_forms = generic.select(F.explode(F.array("full", "stem")).alias("form"), "marked").groupBy("form").agg(F.max("marked").alias("marked"))
 
-    # postings of the list: its forms, with the weight of each word
-    n_entries = ref.agg(F.count(F.lit(1)).alias("n_entries"))
+    # postings of the list: its forms, and whether a position is a subject word
     posted = ref.select("entry", F.inline(_positions("tokens")))
     kinds = posted.where("kind in ('stem', 'full')").join(F.broadcast(plain_forms), "form", "left").groupBy("entry", "pos").agg(F.max(F.col("marked").isNotNull()).alias("is_generic"), F.max(F.coalesce("marked", F.lit(False))).alias("is_marked"))
+    posted = materialize(posted.join(kinds, ["entry", "pos"]), "postings")
     frequency = posted.where("kind = 'stem'").groupBy("form").agg(F.countDistinct("entry").alias("df"))
-    weights = posted.where("kind = 'stem'").join(frequency, "form").crossJoin(F.broadcast(n_entries)).select("entry", "pos", F.log(1 + F.col("n_entries") / F.col("df")).alias("w"))
-    weights = weights.join(kinds, ["entry", "pos"]).withColumn("w", F.when(F.col("is_generic"), F.col("w") * 0.1).otherwise(F.col("w")))
+    n_entries = posted.agg(F.countDistinct("entry").alias("n_entries"))
+    weights = posted.where("kind = 'stem'").join(frequency, "form").crossJoin(F.broadcast(n_entries))
+    weights = weights.withColumn("w", F.log(1 + F.col("n_entries") / F.col("df")) * F.when(F.col("is_generic"), 0.1).otherwise(1.0))
     shape = weights.groupBy("entry").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
         F.collect_set(F.when(~F.col("is_generic"), F.col("pos"))).alias("subject"),
         F.collect_set(F.when(F.col("is_marked"), F.col("pos"))).alias("marks"),
         F.map_from_entries(F.collect_list(F.struct("pos", "w"))).alias("weights"),
     )
-    shape = shape.join(ref.select("entry", F.regexp_replace(_full(F.col("clean")), r"[^\p{L}\p{N}]", "").alias("letters"), F.size("tokens").alias("n_words")), "entry")
+    letters = F.regexp_replace(_full(F.col("clean")), r"[^\p{L}\p{N}]", "").alias("letters")
+    shape = materialize(shape.join(ref.select("entry", letters), "entry"), "shapes")
 
+    # distinct values, numbered, so that what follows carries numbers and not texts
     raw = values.select(F.col(value).alias("raw_value")).where(F.col("raw_value").rlike(r"[^\s\p{Z}\p{Cf}]")).distinct()
-    raw = raw.withColumn("is_cut", _cut(F.col("raw_value"))).withColumn("clean", _clean(F.regexp_replace("raw_value", r"(…|\.\.+)[\s\p{Z}\p{Cf}]*$", ""), profile)).withColumn("tokens", _tokens(F.col("clean")))
-    raw = raw.withColumn("n", F.size("tokens")).withColumn("letters", F.regexp_replace(_full(F.col("clean")), r"[^\p{L}\p{N}]", ""))
-    forms = raw.where("n > 0").select("raw_value", "n", F.inline(_positions("tokens")))
-
-    # the first words of entries, and the beginnings of each further word
-    begun = posted.where("kind = 'full'").select("entry", "pos", F.explode(F.expr("transform(sequence(1, length(form)), i -> left(form, i))")).alias("form"))
+    ending = r"(…|\.\.+)[\s\p{Z}\p{Cf}]*$"
+    raw = raw.withColumn("clean", _clean(F.regexp_replace("raw_value", ending, ""), profile)).select("raw_value", _tokens(F.col("clean")).alias("tokens"), letters.alias("typed"))
+    raw = materialize(raw.withColumn("n", F.size("tokens")).withColumn("vid", F.monotonically_increasing_id()), "values")
+    forms = raw.where("n > 0").select("vid", "n", F.inline(_positions("tokens")))
     vocabulary = posted.select("kind", "form").unionByName(plain_forms.select(F.explode(F.array(F.lit("full"), F.lit("stem"))).alias("kind"), "form"))
-    repairs = _repairs(forms, vocabulary)
-    repaired = forms.join(repairs, ["kind", "form"])
+    repairs = materialize(_repairs(forms, vocabulary), "repairs")
+    repaired = forms.join(repairs, ["kind", "form"]).select("vid", "kind", "pos", "width", "target", "cost")
+
+    # entries worth a look share a subject word with the value, or begin with it
+    targets = posted.select("kind", F.col("form").alias("target"), "entry", F.col("pos").alias("epos"), F.col("width").alias("ewidth"), "is_generic")
+    subjects = repaired.join(targets.where("not is_generic or ewidth > 1").select("kind", "target", "entry").distinct(), ["kind", "target"]).select("vid", "entry")
+    starts = shape.select("entry", F.explode(F.expr("transform(sequence(1, length(letters) - 1), i -> left(letters, i))")).alias("typed"))
+    begun = raw.where("n > 0").select("vid", "typed").join(starts, "typed").select("vid", "entry", F.lit(True).alias("begins"))
+    looked = subjects.unionByName(begun.select("vid", "entry")).distinct()
     # a word far from a generic one is no generic word
-    ignorable = repaired.where("cost <= 1").join(F.broadcast(plain_forms).withColumnRenamed("form", "target"), "target").groupBy("raw_value").agg(
-        F.collect_set(F.struct("pos", "marked", "cost")).alias("plain")
-    )
-    targets = posted.select(F.col("kind"), F.col("form").alias("target"), "entry", F.col("pos").alias("epos"), F.col("width").alias("ewidth"))
-    hits = repaired.join(targets, ["kind", "target"]).where("kind <> 'pair' or width + ewidth > 2")
-    # a word without a subject is no reason to look at an entry
-    hits = hits.select("raw_value", "entry", "pos", "width", "epos", "ewidth", F.when(F.col("kind") == "pair", 1).otherwise(F.col("cost")).alias("cost"))
-    last = forms.where("kind = 'full' and pos = n - 1").select("raw_value", "pos", "form").join(begun.select("form", "entry", F.col("pos").alias("epos")).distinct(), "form")
-    hits = hits.unionByName(last.select("raw_value", "entry", "pos", F.lit(1).alias("width"), "epos", F.lit(1).alias("ewidth"), F.lit(9).alias("cost")))
-    pairs = hits.groupBy("raw_value", "entry").agg(F.collect_set(F.struct("pos", "width", "epos", "ewidth", "cost")).alias("hits"))
-
-    judged = pairs.join(shape, "entry").join(raw.select("raw_value", "is_cut", "n", F.col("letters").alias("typed")), "raw_value").join(ignorable, "raw_value", "left")
-    judged = judged.withColumn("plain", F.coalesce("plain", F.expr("array()").cast("array<struct<pos:int,marked:boolean,cost:int>>")))
-    judged = judged.selectExpr(
-        "*",
-        "filter(hits, h -> h.cost < 9) as sure",
-        "startswith(letters, typed) and length(typed) < length(letters) as begins",
-    )
+    ignorable = repaired.where("cost <= 1 and kind <> 'pair'").join(F.broadcast(plain_forms).withColumnRenamed("form", "target"), "target").groupBy("vid").agg(F.collect_set(F.struct("pos", "marked", "cost")).alias("plain"))
+    hits = looked.join(repaired, "vid").join(targets.drop("is_generic"), ["entry", "kind", "target"]).where("kind <> 'pair' or width + ewidth > 2")
+    hits = hits.groupBy("vid", "entry").agg(F.collect_set(F.struct("pos", "width", "epos", "ewidth", F.when(F.col("kind") == "pair", 1).otherwise(F.col("cost")).alias("cost"))).alias("sure"))
+
+    judged = looked.join(hits, ["vid", "entry"], "left").join(begun, ["vid", "entry"], "left").join(shape, "entry").join(raw.select("vid", "n", "typed"), "vid").join(ignorable, "vid", "left")
+    judged = judged.withColumn("plain", F.coalesce("plain", F.expr("cast(array() as array<struct<pos:int,marked:boolean,cost:int>>)"))).withColumn("sure", F.coalesce("sure", F.expr("cast(array() as array<struct<pos:int,width:int,epos:int,ewidth:int,cost:int>>)")))
     judged = judged.selectExpr(
         "*",
         "array_distinct(flatten(transform(sure, h -> sequence(h.pos, h.pos + h.width - 1)))) as seen",
@@ -207,45 +201,39 @@ def map_to_list(values: DataFrame, value: str, entries: DataFrame, entry: str, p
         "transform(sequence(0, n - 1), p -> array_min(concat(transform(filter(sure, h -> h.pos <= p and p < h.pos + h.width), h -> h.cost), transform(filter(plain, x -> x.pos = p), x -> x.cost)))) as costs",
     )
     judged = judged.selectExpr(
-        "raw_value",
+        "vid",
         "entry",
-        "is_cut",
-        "begins",
         "typed",
+        "coalesce(begins, false) as begins",
         "forall(costs, c -> c is not null) as accounted",
         "aggregate(costs, 0, (a, c) -> a + coalesce(c, 0)) as edits",
         "size(array_except(subject, met)) as missing",
         "size(array_intersect(subject, met)) as present",
         # a kind of body that the value names must be the entry's too
         "forall(filter(plain, x -> x.marked and x.cost = costs[x.pos]), x -> exists(sure, h -> h.pos = x.pos and array_contains(marks, h.epos))) as kind_agrees",
+        # soft TF-IDF: cosine of the repaired words, a little less for each repair;
+        # a word of the value that nothing explains weighs like a rare one
         "aggregate(met, 0D, (a, p) -> a + pow(coalesce(weights[p], 0D), 2)) / norm / sqrt(aggregate(met, 0D, (a, p) -> a + pow(coalesce(weights[p], 0D), 2)) + 0.01 + 25 * size(array_except(sequence(0, n - 1), concat(seen, transform(plain, x -> x.pos)))))"
         " * (1 - 0.1 * aggregate(costs, 0, (a, c) -> a + coalesce(c, 0))) as score",
     )
     ranked = judged.selectExpr(
-        "raw_value",
+        "vid",
         "entry",
-        "score",
+        "round(score, 6) as score",
+        "case when accounted and kind_agrees and missing = 0 and present > 0 and edits <= if(length(typed) < 7, 1, 2) then 1 when begins then 2 when accounted and kind_agrees and present > 0 and edits = 0 then 3 end as grade",
         "missing",
-        "case when accounted and kind_agrees and missing = 0 and present > 0 and edits <= if(length(typed) < 7, 1, 2) then 1"
-        " when begins then 2"
-        " when accounted and kind_agrees and present > 0 and edits = 0 then 3 end as grade",
     ).where("grade is not null")
-    best = ranked.groupBy("raw_value").agg(F.min(F.struct("grade", F.when(F.col("grade") == 3, F.col("missing")).otherwise(0).alias("missing"), (-F.round("score", 6)).alias("worse"))).alias("best"))
-    chosen = (
-        ranked.join(best, "raw_value")
-        .where("grade = best.grade and (grade = 2 or (if(grade = 3, missing, 0) = best.missing and (grade = 3 or -round(score, 6) = best.worse)))")
-        .groupBy("raw_value")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("entry").alias("entry"), F.max("score").alias("score"))
-    )
-    mapped = chosen.where("n = 1").select("raw_value", "entry", "score")
-    return raw.select("raw_value").join(mapped, "raw_value", "left").select("raw_value", F.coalesce("entry", F.lit("")).alias("canonical_value"), F.coalesce(F.round("score", 4), F.lit(0.0)).alias("score"))
+    # what decides between entries: the grade; then the score, or the missing words of a partial name
+    ranked = ranked.withColumn("rank", F.struct("grade", F.when(F.col("grade") == 1, -F.col("score")).when(F.col("grade") == 3, F.col("missing").cast("double")).otherwise(0.0).alias("by")))
+    best = ranked.groupBy("vid").agg(F.min("rank").alias("best"))
+    chosen = ranked.join(best, "vid").where("rank = best").groupBy("vid").agg(F.count(F.lit(1)).alias("n"), F.min("entry").alias("entry"), F.max("score").alias("score")).where("n = 1")
+    out = raw.select("vid", "raw_value").join(chosen, "vid", "left")
+    return out.select("raw_value", F.coalesce("entry", F.lit("")).alias("canonical_value"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def map_records(records: DataFrame, record_id: str, value: str, entries: DataFrame, entry: str, profile: ListProfile) -> DataFrame:
     """(record_id, raw_value, canonical_value) of each record whose value is not
     null, not blank and not exactly an entry; distinct rows."""
-    from quorumlake.session import materialize
-
     typed = records.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(value).alias("raw_value")).where(F.col("raw_value").rlike(r"[^\s\p{Z}\p{Cf}]") & F.col("record_id").isNotNull())
     listed = entries.select(F.col(entry).alias("raw_value")).where("raw_value is not null").distinct()
     typed = typed.join(listed, "raw_value", "left_anti").distinct()
