@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from quorumlake.plans import oracle, pages_catalogue, problems
+from quorumlake.plans import constructs, oracle, pages_catalogue, pipeline, problems
 
 FLAGSHIP = "q41_party_votes"
 
 
 def queries() -> dict:
-    return {**problems.QUERIES, **pages_catalogue.QUERIES}
+    return {**problems.QUERIES, **constructs.QUERIES, **pipeline.QUERIES, **pages_catalogue.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**problems.ORACLE_SQL, **oracle.ORACLE_SQL}
+    return {**problems.ORACLE_SQL, **constructs.ORACLE_SQL, **pipeline.ORACLE_SQL, **oracle.ORACLE_SQL}

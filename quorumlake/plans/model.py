@@ -36,11 +36,12 @@ COUNTED = ("preliminary", "first", "third")
 
 
 def first_delivery(df: DataFrame, *key: str, at: str = "loaded_at") -> DataFrame:
-    """One row per key: the first one delivered. An aggregate, so it combines before
-    the shuffle; equal times go to the smallest content."""
-    rest = [c for c in df.columns if c not in key]
-    flat = [c for c in rest if c != at]
-    best = F.min(F.struct(F.col(at).alias("__at"), *[F.col(c) for c in flat]))
+    """One row per key: the first one delivered, among equal times the one with the
+    fewest nulls, then the smallest content. An aggregate, so it combines before the
+    shuffle."""
+    flat = [c for c in df.columns if c not in (*key, at)]
+    gaps = sum((F.col(c).isNull().cast("int") for c in flat), F.lit(0))
+    best = F.min(F.struct(F.col(at).alias("__at"), gaps.alias("__gaps"), *[F.col(c) for c in flat]))
     return df.groupBy(*key).agg(best.alias("__x")).select(*key, *[F.col(f"__x.{c}").alias(c) for c in flat], F.col("__x.__at").alias(at))
 
 

@@ -11,8 +11,12 @@ _DATE = "coalesce(try_strptime(left({c}, 10), '%Y-%m-%d'), try_strptime(left({c}
 _TS = "coalesce(try_cast(replace({c}, 'T', ' ') as timestamp), try_cast(replace({c}, 'T', ' ') || ':00' as timestamp))"
 
 
-def _once(name: str, key: str) -> str:
-    return f"(select * from {name} qualify row_number() over (partition by {key} order by loaded_at) = 1)"
+def _once(name: str, key: str, may_lack: str = "") -> str:
+    gaps = "".join(f", ({c} is null)::int" if n == 0 else f" + ({c} is null)::int" for n, c in enumerate(may_lack.split()))
+    return f"(select * from {name} qualify row_number() over (partition by {key} order by loaded_at{gaps}) = 1)"
+
+
+_VOTE_GAPS = "source_knesset_num plenum_session_id item_id lu_item_type vote_datetime item_title decision reading accepted"
 
 
 _CTES = {
@@ -21,7 +25,7 @@ _CTES = {
     "tally": "select vote_id, count_if(r = 7) f, count_if(r = 8) a, count_if(r = 9) ab from ballot group by vote_id",
     "plain_vote": f"""select v.vote_id, v.knesset_num, {_TS.format(c='v.vote_datetime')} ts, v.item_title, v.decision, v.reading, v.accepted, v.lu_item_type kind, v.vote_type,
         link.bill_id, coalesce(f, 0) n_for, coalesce(a, 0) n_against, coalesce(ab, 0) n_abstain, tally.vote_id is not null has_ballots
-        from {_once('fact_votes', 'vote_id')} v left join link using (vote_id) left join tally using (vote_id)""",
+        from {_once('fact_votes', 'vote_id', _VOTE_GAPS)} v left join link using (vote_id) left join tally using (vote_id)""",
     "vote": """select p.*, ts::date vote_date, case when kind = 3 then 'no_confidence' when kind = 4 then 'motion' when kind = 6000 then 'regulation' when bill_id is null then 'other'
         when reading = 3 then 'third' when reading = 2 then 'second' when contains(decision, 'להכנה לקריאה ראשונה') then 'preliminary' when contains(decision, 'להכנה לקריאה שני') then 'first'
         when decision = 'לקבל את ההסתייגות' then 'reservation'

@@ -116,7 +116,8 @@ def _with_party(m: Model, b: DataFrame) -> DataFrame:
     return b.join(pv, ["vote_id", "party_id"])
 
 
-_AGAINST_PARTY = C("choice").isin(*FOR_AGAINST) & C("position").isin(*FOR_AGAINST) & (C("choice") != C("position")) & (C("p_for") + C("p_against") >= 3)
+def _against_party() -> Column:
+    return C("choice").isin(*FOR_AGAINST) & C("position").isin(*FOR_AGAINST) & (C("choice") != C("position")) & (C("p_for") + C("p_against") >= 3)
 
 
 def mk_kpi(m: Model, member: int, k: int | None = None) -> DataFrame:
@@ -174,7 +175,7 @@ def mk_concept_votes(m: Model, concept: str, member: int, k: int | None = None)
 
 
 def mk_votes(m: Model, member: int, k: int | None = None, against_only: bool = False, number: int = 1) -> DataFrame:
-    t = _with_party(m, _own(m, member, k)).withColumn("against_party", _AGAINST_PARTY)
+    t = _with_party(m, _own(m, member, k)).withColumn("against_party", _against_party())
     t = t.where("against_party") if against_only else t
     t = t.join(m.votes.select("vote_id", "ts", "item_title"), "vote_id").select("vote_id", _text("vote_date"), "item_title", "stage", "choice", "position", "against_party", "ts", "ballot_id")
     return page(t, nulls_last("-ts", "-vote_id", "ballot_id"), number).drop("ts", "ballot_id")
