@@ -122,7 +122,9 @@ def _repairs(raw: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(kind, form, target, cost): distinct forms joined to the vocabulary by edit
     distance: letters inserted, left out, replaced or exchanged with a neighbour, at
     most one, or two in words of five letters and more; forms of pairs exactly."""
-    left = raw.select("kind", "form").distinct().withColumn("variant", F.explode(F.when(F.col("kind") == "pair", F.array("form")).otherwise(_deletions(F.col("form")))))
+    # a form longer than any word of the list by more than two letters is near none
+    longest = vocabulary.agg(F.max(F.length("form"))).head()[0] or 0
+    left = raw.select("kind", "form").where(F.length("form") <= longest + 2).distinct().withColumn("variant", F.explode(F.when(F.col("kind") == "pair", F.array("form")).otherwise(_deletions(F.col("form")))))
     right = vocabulary.select("kind", F.col("form").alias("target")).distinct().withColumn("variant", F.explode(F.when(F.col("kind") == "pair", F.array("target")).otherwise(_deletions(F.col("target")))))
     met = left.join(right, ["kind", "variant"]).select("kind", "form", "target").distinct()
     apart = F.levenshtein("form", "target")
@@ -194,6 +196,8 @@ def map_to_list(values: DataFrame, value: str, entries: DataFrame, entry: str, p
 
     judged = looked.join(hits, ["vid", "entry"], "left").join(begun, ["vid", "entry"], "left").join(shape, "entry").join(raw.select("vid", "n", "typed"), "vid").join(ignorable, "vid", "left")
     judged = judged.withColumn("plain", F.coalesce("plain", F.expr("cast(array() as array<struct<pos:int,marked:boolean,cost:int>>)"))).withColumn("sure", F.coalesce("sure", F.expr("cast(array() as array<struct<pos:int,width:int,epos:int,ewidth:int,cost:int>>)")))
+    # a word that is a generic one is not taken for a misspelled subject
+    judged = judged.withColumn("sure", F.expr("filter(sure, h -> not exists(plain, x -> x.pos = h.pos and x.cost < h.cost))"))
     judged = judged.selectExpr(
         "*",
         "array_distinct(flatten(transform(sure, h -> sequence(h.pos, h.pos + h.width - 1)))) as seen",
