@@ -140,11 +140,13 @@ def map_to_list(values: DataFrame, value: str, entries: DataFrame, entry: str, p
     that is neither null nor blank; '' where no entry is meant.
 
     An entry is accepted when every word of the value is one of its words (with at
-    most two misspelled letters in all, one in short values), a generic word of the list, or, at the end of a
-    value that breaks off, the beginning of its word; when words that mark a kind
-    of body agree; and when its own subject words are all there. Failing that, a
-    value that names part of a subject without misspelling, or breaks off, is
-    accepted if only one entry has it. Two equally good entries mean none.
+    most two misspelled letters in all, one in short values) or a generic word of the
+    list, when words that mark a kind of body agree, and when its own subject words
+    are all there. Failing that, an entry that shares a subject word and all numbers
+    with the value and differs from it by two letters in all, three in long names;
+    failing that, the only entry that a value which breaks off begins; failing that,
+    the entry of which the value names part of the subject without misspelling, if
+    no other has as much of it. Two equally good entries mean none.
 
     Ties, repeated rows and clashing column names do no harm; an empty list maps
     everything to ''; an empty table gives no rows. ``entries`` must be a reference
@@ -209,6 +211,9 @@ def map_to_list(values: DataFrame, value: str, entries: DataFrame, entry: str, p
         "entry",
         "typed",
         "coalesce(begins, false) as begins",
+        "levenshtein(typed, letters, 3) as apart",
+        "regexp_replace(typed, '[^0-9]', '') = regexp_replace(letters, '[^0-9]', '') as same_numbers",
+        "length(letters) as n_letters",
         "forall(costs, c -> c is not null) as accounted",
         "aggregate(costs, 0, (a, c) -> a + coalesce(c, 0)) as edits",
         "size(array_except(subject, met)) as missing",
@@ -224,11 +229,15 @@ def map_to_list(values: DataFrame, value: str, entries: DataFrame, entry: str, p
         "vid",
         "entry",
         "round(score, 6) as score",
-        "case when accounted and kind_agrees and missing = 0 and present > 0 and edits <= if(length(typed) < 7, 1, 2) then 1 when begins then 2 when accounted and kind_agrees and present > 0 and edits = 0 then 3 end as grade",
+        "case when accounted and kind_agrees and missing = 0 and present > 0 and edits <= if(length(typed) < 7, 1, 2) then 1"
+        " when present > 0 and same_numbers and n_letters >= 10 and apart between 0 and if(n_letters >= 14, 3, 2) then 2"
+        " when begins then 3 when accounted and kind_agrees and present > 0 and edits = 0 then 4 end as grade",
         "missing",
+        "apart",
     ).where("grade is not null")
-    # what decides between entries: the grade; then the score, or the missing words of a partial name
-    ranked = ranked.withColumn("rank", F.struct("grade", F.when(F.col("grade") == 1, -F.col("score")).when(F.col("grade") == 3, F.col("missing").cast("double")).otherwise(0.0).alias("by")))
+    # what decides between entries: the grade; then the score, the letters that differ,
+    # or the missing words of a partial name
+    ranked = ranked.withColumn("rank", F.struct("grade", F.when(F.col("grade") == 1, -F.col("score")).when(F.col("grade") == 2, F.col("apart").cast("double")).when(F.col("grade") == 4, F.col("missing").cast("double")).otherwise(0.0).alias("by")))
     best = ranked.groupBy("vid").agg(F.min("rank").alias("best"))
     chosen = ranked.join(best, "vid").where("rank = best").groupBy("vid").agg(F.count(F.lit(1)).alias("n"), F.min("entry").alias("entry"), F.max("score").alias("score")).where("n = 1")
     out = raw.select("vid", "raw_value").join(chosen, "vid", "left")
