@@ -183,14 +183,14 @@ def map_to_list(values: DataFrame, value: str, entries: DataFrame, entry: str, p
     forms = raw.where("n > 0").select("vid", "n", F.inline(_positions("tokens")))
     vocabulary = posted.select("kind", "form").unionByName(plain_forms.select(F.explode(F.array(F.lit("full"), F.lit("stem"))).alias("kind"), "form"))
     repairs = materialize(_repairs(forms, vocabulary), "repairs")
-    repaired = forms.join(repairs, ["kind", "form"]).select("vid", "kind", "pos", "width", "target", "cost")
+    repaired = materialize(forms.join(repairs, ["kind", "form"]).select("vid", "kind", "pos", "width", "target", "cost"), "repaired")
 
     # entries worth a look share a subject word with the value, or begin with it
     targets = posted.select("kind", F.col("form").alias("target"), "entry", F.col("pos").alias("epos"), F.col("width").alias("ewidth"), "is_generic")
     subjects = repaired.join(targets.where("not is_generic or ewidth > 1").select("kind", "target", "entry").distinct(), ["kind", "target"]).select("vid", "entry")
     starts = shape.select("entry", F.explode(F.expr("transform(sequence(1, length(letters) - 1), i -> left(letters, i))")).alias("typed"))
     begun = raw.where("n > 0").select("vid", "typed").join(starts, "typed").select("vid", "entry", F.lit(True).alias("begins"))
-    looked = subjects.unionByName(begun.select("vid", "entry")).distinct()
+    looked = materialize(subjects.unionByName(begun.select("vid", "entry")).distinct(), "looked")
     # a word far from a generic one is no generic word
     ignorable = repaired.where("cost <= 1 and kind <> 'pair'").join(F.broadcast(plain_forms).withColumnRenamed("form", "target"), "target").groupBy("vid").agg(F.collect_set(F.struct("pos", "marked", "cost")).alias("plain"))
     hits = looked.join(repaired, "vid").join(targets.drop("is_generic"), ["entry", "kind", "target"]).where("kind <> 'pair' or width + ewidth > 2")
@@ -238,6 +238,7 @@ def map_to_list(values: DataFrame, value: str, entries: DataFrame, entry: str, p
     # what decides between entries: the grade; then the score, the letters that differ,
     # or the missing words of a partial name
     ranked = ranked.withColumn("rank", F.struct("grade", F.when(F.col("grade") == 1, -F.col("score")).when(F.col("grade") == 2, F.col("apart").cast("double")).when(F.col("grade") == 4, F.col("missing").cast("double")).otherwise(0.0).alias("by")))
+    ranked = materialize(ranked.select("vid", "entry", "score", "rank"), "ranked")
     best = ranked.groupBy("vid").agg(F.min("rank").alias("best"))
     chosen = ranked.join(best, "vid").where("rank = best").groupBy("vid").agg(F.count(F.lit(1)).alias("n"), F.min("entry").alias("entry"), F.max("score").alias("score")).where("n = 1")
     out = raw.select("vid", "raw_value").join(chosen, "vid", "left")
