@@ -119,14 +119,14 @@ def _positions(tokens: str) -> Column:
 
 
 def _repairs(raw: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(kind, form, target, cost): distinct forms joined to the vocabulary by edit
+    """(field, kind, form, target, cost): distinct forms joined to the vocabulary by edit
     distance: letters inserted, left out, replaced or exchanged with a neighbour, at
     most one, or two in words of five letters and more; forms of pairs exactly."""
     # a form longer than any word of the list by more than two letters is near none
     longest = vocabulary.agg(F.max(F.length("form"))).head()[0] or 0
-    left = raw.select("kind", "form").where(F.length("form") <= longest + 2).distinct().withColumn("variant", F.explode(F.when(F.col("kind") == "pair", F.array("form")).otherwise(_deletions(F.col("form")))))
-    right = vocabulary.select("kind", F.col("form").alias("target")).distinct().withColumn("variant", F.explode(F.when(F.col("kind") == "pair", F.array("target")).otherwise(_deletions(F.col("target")))))
-    met = left.join(right, ["kind", "variant"]).select("kind", "form", "target").distinct()
+    left = raw.select("field", "kind", "form").where(F.length("form") <= longest + 2).distinct().withColumn("variant", F.explode(F.when(F.col("kind") == "pair", F.array("form")).otherwise(_deletions(F.col("form")))))
+    right = vocabulary.select("field", "kind", F.col("form").alias("target")).distinct().withColumn("variant", F.explode(F.when(F.col("kind") == "pair", F.array("target")).otherwise(_deletions(F.col("target")))))
+    met = left.join(right, ["field", "kind", "variant"]).select("field", "kind", "form", "target").distinct()
     apart = F.levenshtein("form", "target")
     letters = lambda c: F.array_sort(F.split(F.col(c), ""))
     swapped = (apart == 2) & (letters("form") == letters("target"))
@@ -135,9 +135,10 @@ def _repairs(raw: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return met.withColumn("cost", cost).where("cost is not null")
 
 
-def map_to_list(values: DataFrame, value: str, entries: DataFrame, entry: str, profile: ListProfile) -> DataFrame:
-    """(raw_value, canonical_value, score): one row per distinct value of ``values``
-    that is neither null nor blank; '' where no entry is meant.
+def map_to_lists(values: DataFrame, entries: DataFrame, profiles: dict[str, ListProfile]) -> DataFrame:
+    """(field, raw_value, canonical_value, score): one row per distinct value of
+    ``values`` (field, value) that is neither null nor blank, mapped to the entries
+    (field, entry) of its field; '' where no entry is meant.
 
     An entry is accepted when every word of the value is one of its words (with at
     most two misspelled letters in all, one in short values) or a generic word of the
@@ -148,55 +149,66 @@ def map_to_list(values: DataFrame, value: str, entries: DataFrame, entry: str, p
     the entry of which the value names part of the subject without misspelling, if
     no other has as much of it. Two equally good entries mean none.
 
-    Ties, repeated rows and clashing column names do no harm; an empty list maps
-    everything to ''; an empty table gives no rows. ``entries`` must be a reference
-    list, but nothing is broadcast by hand: the planner decides by size.
+    Ties and repeated rows do no harm; an empty list maps everything to ''; an empty
+    table gives no rows. Nothing that grows is broadcast by hand: the planner decides
+    by size.
     """
     spark = values.sparkSession
-    ref = entries.select(F.col(entry).alias("entry")).where(F.col("entry").rlike(r"[^\s\p{Z}\p{Cf}]")).distinct()
+    seen_field = F.col("field")
+
+    def cleaned(text: Column) -> Column:
+        out = _clean(text, ListProfile())
+        for name, profile in profiles.items():
+            out = F.when(seen_field == name, _clean(text, profile)).otherwise(out)
+        return out
+
+    ref = entries.select("field", "entry").where(F.col("entry").rlike(r"[^\s\p{Z}\p{Cf}]")).distinct()
     ref = ref.withColumn("clean", _clean(F.col("entry"), ListProfile())).withColumn("tokens", _tokens(F.col("clean"))).where(F.size("tokens") > 0)
-    generic = spark.createDataFrame([(w,) for w in (*profile.generic, *profile.marked)], "word string").select(_full(F.col("word")).alias("full"), _stem(F.col("word")).alias("stem"), F.col("word").isin(*profile.marked).alias("marked"))
-    plain_forms = generic.select(F.explode(F.array("full", "stem")).alias("form"), "marked").groupBy("form").agg(F.max("marked").alias("marked"))
-
-    # postings of the list: its forms, and whether a position is a subject word
-    posted = ref.select("entry", F.inline(_positions("tokens")))
-    kinds = posted.where("kind in ('stem', 'full')").join(F.broadcast(plain_forms), "form", "left").groupBy("entry", "pos").agg(F.max(F.col("marked").isNotNull()).alias("is_generic"), F.max(F.coalesce("marked", F.lit(False))).alias("is_marked"))
-    posted = materialize(posted.join(kinds, ["entry", "pos"]), "postings")
-    frequency = posted.where("kind = 'stem'").groupBy("form").agg(F.countDistinct("entry").alias("df"))
-    n_entries = posted.agg(F.countDistinct("entry").alias("n_entries"))
-    weights = posted.where("kind = 'stem'").join(frequency, "form").crossJoin(F.broadcast(n_entries))
+    words = [(name, w, w in p.marked) for name, p in profiles.items() for w in (*p.generic, *p.marked)]
+    generic = spark.createDataFrame(words, "field string, word string, marked boolean")
+    generic = generic.select("field", F.explode(F.array(_full(F.col("word")), _stem(F.col("word")))).alias("form"), "marked")
+    plain_forms = generic.groupBy("field", "form").agg(F.max("marked").alias("marked"))
+
+    # postings of the lists: their forms, and whether a position is a subject word
+    posted = ref.select("field", "entry", F.inline(_positions("tokens")))
+    kinds = posted.where("kind in ('stem', 'full')").join(F.broadcast(plain_forms), ["field", "form"], "left").groupBy("field", "entry", "pos").agg(F.max(F.col("marked").isNotNull()).alias("is_generic"), F.max(F.coalesce("marked", F.lit(False))).alias("is_marked"))
+    posted = materialize(posted.join(kinds, ["field", "entry", "pos"]), "postings")
+    stems = posted.where("kind = 'stem'")
+    frequency = stems.groupBy("field", "form").agg(F.countDistinct("entry").alias("df"))
+    n_entries = posted.groupBy("field").agg(F.countDistinct("entry").alias("n_entries"))
+    weights = stems.join(frequency, ["field", "form"]).join(n_entries, "field")
     weights = weights.withColumn("w", F.log(1 + F.col("n_entries") / F.col("df")) * F.when(F.col("is_generic"), 0.1).otherwise(1.0))
-    shape = weights.groupBy("entry").agg(
+    shape = weights.groupBy("field", "entry").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
         F.collect_set(F.when(~F.col("is_generic"), F.col("pos"))).alias("subject"),
         F.collect_set(F.when(F.col("is_marked"), F.col("pos"))).alias("marks"),
         F.map_from_entries(F.collect_list(F.struct("pos", "w"))).alias("weights"),
     )
     letters = F.regexp_replace(_full(F.col("clean")), r"[^\p{L}\p{N}]", "").alias("letters")
-    shape = materialize(shape.join(ref.select("entry", letters), "entry"), "shapes")
+    shape = materialize(shape.join(ref.select("field", "entry", letters), ["field", "entry"]), "shapes")
 
     # distinct values, numbered, so that what follows carries numbers and not texts
-    raw = values.select(F.col(value).alias("raw_value")).where(F.col("raw_value").rlike(r"[^\s\p{Z}\p{Cf}]")).distinct()
+    raw = values.select("field", F.col("value").alias("raw_value")).where(F.col("raw_value").rlike(r"[^\s\p{Z}\p{Cf}]")).distinct()
     ending = r"(…|\.\.+)[\s\p{Z}\p{Cf}]*$"
-    raw = raw.withColumn("clean", _clean(F.regexp_replace("raw_value", ending, ""), profile)).select("raw_value", _tokens(F.col("clean")).alias("tokens"), letters.alias("typed"))
+    raw = raw.withColumn("clean", cleaned(F.regexp_replace("raw_value", ending, ""))).select("field", "raw_value", _tokens(F.col("clean")).alias("tokens"), letters.alias("typed"))
     raw = materialize(raw.withColumn("n", F.size("tokens")).withColumn("vid", F.monotonically_increasing_id()), "values")
-    forms = raw.where("n > 0").select("vid", "n", F.inline(_positions("tokens")))
-    vocabulary = posted.select("kind", "form").unionByName(plain_forms.select(F.explode(F.array(F.lit("full"), F.lit("stem"))).alias("kind"), "form"))
+    forms = raw.where("n > 0").select("field", "vid", F.inline(_positions("tokens")))
+    vocabulary = posted.select("field", "kind", "form").unionByName(plain_forms.select("field", F.explode(F.array(F.lit("full"), F.lit("stem"))).alias("kind"), "form"))
     repairs = materialize(_repairs(forms, vocabulary), "repairs")
-    repaired = materialize(forms.join(repairs, ["kind", "form"]).select("vid", "kind", "pos", "width", "target", "cost"), "repaired")
+    repaired = materialize(forms.join(repairs, ["field", "kind", "form"]).select("field", "vid", "kind", "pos", "width", "target", "cost"), "repaired")
 
     # entries worth a look share a subject word with the value, or begin with it
-    targets = posted.select("kind", F.col("form").alias("target"), "entry", F.col("pos").alias("epos"), F.col("width").alias("ewidth"), "is_generic")
-    subjects = repaired.join(targets.where("not is_generic or ewidth > 1").select("kind", "target", "entry").distinct(), ["kind", "target"]).select("vid", "entry")
-    starts = shape.select("entry", F.explode(F.expr("transform(sequence(1, length(letters) - 1), i -> left(letters, i))")).alias("typed"))
-    begun = raw.where("n > 0").select("vid", "typed").join(starts, "typed").select("vid", "entry", F.lit(True).alias("begins"))
-    looked = materialize(subjects.unionByName(begun.select("vid", "entry")).distinct(), "looked")
+    targets = posted.select("field", "kind", F.col("form").alias("target"), "entry", F.col("pos").alias("epos"), F.col("width").alias("ewidth"), "is_generic")
+    subjects = repaired.join(targets.where("not is_generic or ewidth > 1").select("field", "kind", "target", "entry").distinct(), ["field", "kind", "target"]).select("field", "vid", "entry")
+    starts = shape.select("field", "entry", F.explode(F.expr("transform(sequence(1, length(letters) - 1), i -> left(letters, i))")).alias("typed"))
+    begun = raw.where("n > 0").select("field", "vid", "typed").join(starts, ["field", "typed"]).select("field", "vid", "entry", F.lit(True).alias("begins"))
+    looked = materialize(subjects.unionByName(begun.select("field", "vid", "entry")).distinct(), "looked")
     # a word far from a generic one is no generic word
-    ignorable = repaired.where("cost <= 1 and kind <> 'pair'").join(F.broadcast(plain_forms).withColumnRenamed("form", "target"), "target").groupBy("vid").agg(F.collect_set(F.struct("pos", "marked", "cost")).alias("plain"))
-    hits = looked.join(repaired, "vid").join(targets.drop("is_generic"), ["entry", "kind", "target"]).where("kind <> 'pair' or width + ewidth > 2")
+    ignorable = repaired.where("cost <= 1 and kind <> 'pair'").join(F.broadcast(plain_forms).withColumnRenamed("form", "target"), ["field", "target"]).groupBy("vid").agg(F.collect_set(F.struct("pos", "marked", "cost")).alias("plain"))
+    hits = looked.join(repaired.drop("field"), "vid").join(targets.drop("is_generic"), ["field", "entry", "kind", "target"]).where("kind <> 'pair' or width + ewidth > 2")
     hits = hits.groupBy("vid", "entry").agg(F.collect_set(F.struct("pos", "width", "epos", "ewidth", F.when(F.col("kind") == "pair", 1).otherwise(F.col("cost")).alias("cost"))).alias("sure"))
 
-    judged = looked.join(hits, ["vid", "entry"], "left").join(begun, ["vid", "entry"], "left").join(shape, "entry").join(raw.select("vid", "n", "typed"), "vid").join(ignorable, "vid", "left")
+    judged = looked.join(hits, ["vid", "entry"], "left").join(begun.drop("field"), ["vid", "entry"], "left").join(shape, ["field", "entry"]).join(raw.select("vid", "n", "typed"), "vid").join(ignorable, "vid", "left")
     judged = judged.withColumn("plain", F.coalesce("plain", F.expr("cast(array() as array<struct<pos:int,marked:boolean,cost:int>>)"))).withColumn("sure", F.coalesce("sure", F.expr("cast(array() as array<struct<pos:int,width:int,epos:int,ewidth:int,cost:int>>)")))
     # a word that is a generic one is not taken for a misspelled subject
     judged = judged.withColumn("sure", F.expr("filter(sure, h -> not exists(plain, x -> x.pos = h.pos and x.cost < h.cost))"))
@@ -241,15 +253,39 @@ def map_to_list(values: DataFrame, value: str, entries: DataFrame, entry: str, p
     ranked = materialize(ranked.select("vid", "entry", "score", "rank"), "ranked")
     best = ranked.groupBy("vid").agg(F.min("rank").alias("best"))
     chosen = ranked.join(best, "vid").where("rank = best").groupBy("vid").agg(F.count(F.lit(1)).alias("n"), F.min("entry").alias("entry"), F.max("score").alias("score")).where("n = 1")
-    out = raw.select("vid", "raw_value").join(chosen, "vid", "left")
-    return out.select("raw_value", F.coalesce("entry", F.lit("")).alias("canonical_value"), F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
-def map_records(records: DataFrame, record_id: str, value: str, entries: DataFrame, entry: str, profile: ListProfile) -> DataFrame:
-    """(record_id, raw_value, canonical_value) of each record whose value is not
-    null, not blank and not exactly an entry; distinct rows."""
-    typed = records.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(value).alias("raw_value")).where(F.col("raw_value").rlike(r"[^\s\p{Z}\p{Cf}]") & F.col("record_id").isNotNull())
-    listed = entries.select(F.col(entry).alias("raw_value")).where("raw_value is not null").distinct()
-    typed = typed.join(listed, "raw_value", "left_anti").distinct()
-    mapping = materialize(map_to_list(typed, "raw_value", entries, entry, profile), "canonical")
-    return typed.join(mapping, "raw_value").select("record_id", "raw_value", "canonical_value")
+    out = raw.select("field", "vid", "raw_value").join(chosen, "vid", "left")
+    return out.select("field", "raw_value", F.coalesce("entry", F.lit("")).alias("canonical_value"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def map_to_list(values: DataFrame, value: str, entries: DataFrame, entry: str, profile: ListProfile) -> DataFrame:
+    """:func:`map_to_lists` for one field: (raw_value, canonical_value, score)."""
+    one = F.lit("").alias("field")
+    out = map_to_lists(values.select(one, F.col(value).alias("value")), entries.select(one, F.col(entry).alias("entry")), {"": profile})
+    return out.select("raw_value", "canonical_value", "score")
+
+
+@dataclass(frozen=True)
+class Field:
+    """A freely typed column of some records, and the list it should come from."""
+
+    name: str
+    records: DataFrame
+    record_id: str
+    value: str
+    entries: DataFrame
+    entry: str
+    profile: ListProfile
+
+
+def map_records(*fields: Field) -> DataFrame:
+    """(field_name, record_id, raw_value, canonical_value) of each record whose value
+    is not null, not blank and not exactly an entry; distinct rows."""
+    typed, listed = None, None
+    for f in fields:
+        name = F.lit(f.name).alias("field")
+        t = f.records.select(name, F.col(f.record_id).cast("bigint").alias("record_id"), F.col(f.value).alias("value")).where(F.col("value").rlike(r"[^\s\p{Z}\p{Cf}]") & F.col("record_id").isNotNull())
+        e = f.entries.select(name, F.col(f.entry).alias("entry")).where("entry is not null").distinct()
+        typed, listed = (t, e) if typed is None else (typed.unionByName(t), listed.unionByName(e))
+    typed = typed.join(listed.withColumnRenamed("entry", "value"), ["field", "value"], "left_anti").distinct()
+    mapping = materialize(map_to_lists(typed, listed, {f.name: f.profile for f in fields}), "canonical").withColumnRenamed("raw_value", "value")
+    return typed.join(mapping, ["field", "value"]).select(F.col("field").alias("field_name"), "record_id", F.col("value").alias("raw_value"), "canonical_value")

@@ -13,9 +13,10 @@ CONTAINER_TOKENS = 2048
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Freely typed faction and committee names with the entry each means."""
-    factions = canonical.map_records(table(spark, sf, "bridge_member_factions"), "member_id", "faction_name", table(spark, sf, "faction_lineage"), "faction_name", canonical.FACTIONS)
-    committees = canonical.map_records(table(spark, sf, "dim_bills"), "bill_id", "committee_name", table(spark, sf, "committee_topics"), "committee_name", canonical.COMMITTEES)
-    return factions.select(F.lit("faction_name").alias("field_name"), "*").unionByName(committees.select(F.lit("committee_name").alias("field_name"), "*"))
+    return canonical.map_records(
+        canonical.Field("faction_name", table(spark, sf, "bridge_member_factions"), "member_id", "faction_name", table(spark, sf, "faction_lineage"), "faction_name", canonical.FACTIONS),
+        canonical.Field("committee_name", table(spark, sf, "dim_bills"), "bill_id", "committee_name", table(spark, sf, "committee_topics"), "committee_name", canonical.COMMITTEES),
+    )
 
 
 def p1_unmatched(spark: SparkSession, sf: str) -> DataFrame:

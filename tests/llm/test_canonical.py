@@ -1,6 +1,6 @@
 import pytest
 
-from quorumlake.llm.canonical import COMMITTEES, FACTIONS, map_records, map_to_list
+from quorumlake.llm.canonical import COMMITTEES, FACTIONS, Field, map_records, map_to_list
 
 COMMITTEE_LIST = [
     "ועדת החופים והדיג", "ועדת האנרגיה והרוח", "ועדת הכפרים והעיירות", "ועדת המים העיליים", "ועדת המחקר הימי", "ועדת הוועד האתי", "ועדת השווקים והמידות",
@@ -42,7 +42,13 @@ def test_cases(spark, entries, cases, profile):
 def test_records_and_empty_sides(spark):
     rows = spark.createDataFrame([(1, "עוגן"), (1, "עוגן "), (1, "עוגן "), (2, None), (3, ""), (None, "עוגן."), (4, "x" * 5000)], "id int, v string")
     ref = spark.createDataFrame([("עוגן",)], "v string")
-    got = {tuple(r) for r in map_records(rows, "id", "v", ref, "v", FACTIONS).collect()}
-    assert got == {(1, "עוגן ", "עוגן"), (4, "x" * 5000, "")}
-    assert map_records(rows.limit(0), "id", "v", ref, "v", FACTIONS).count() == 0
-    assert {r["canonical_value"] for r in map_records(rows, "id", "v", ref.limit(0), "v", FACTIONS).collect()} == {""}
+    run = lambda r, e: map_records(Field("f", r, "id", "v", e, "v", FACTIONS))
+    assert {tuple(r) for r in run(rows, ref).collect()} == {("f", 1, "עוגן ", "עוגן"), ("f", 4, "x" * 5000, "")}
+    assert run(rows.limit(0), ref).count() == 0
+    assert {r["canonical_value"] for r in run(rows, ref.limit(0)).collect()} == {""}
+
+
+def test_fields_keep_apart(spark):
+    a = spark.createDataFrame([(1, "עוגן."), (2, "ועדת החופים")], "id int, v string")
+    got = {tuple(r) for r in map_records(Field("x", a, "id", "v", spark.createDataFrame([("עוגן",)], "v string"), "v", FACTIONS), Field("y", a, "id", "v", spark.createDataFrame([(COAST,)], "v string"), "v", COMMITTEES)).collect()}
+    assert got == {("x", 1, "עוגן.", "עוגן"), ("x", 2, "ועדת החופים", ""), ("y", 1, "עוגן.", ""), ("y", 2, "ועדת החופים", COAST)}
