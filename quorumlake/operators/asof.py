@@ -1,11 +1,13 @@
 """Attributes as known at the time of an event.
 
-Two forms of the as-of join:
+Three forms of the as-of join:
 
 * :func:`asof_left_bucketed` hash-partitions the entities and runs an embedded
   DuckDB ``ASOF LEFT JOIN`` in every bucket.
-* :func:`asof_left` is a plain window over the union of both sides; the analytical
-  model uses it.
+* :func:`asof_left` is a plain window over the union of both sides, for keys of
+  which none holds a large part of the rows.
+* :func:`asof_left_history` joins events to the short history of their entity; it
+  needs no sort and no even keys, and the analytical model uses it.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ def current_versions(versions: DataFrame, key: str, since: str, order: list[Colu
     return versions.where(F.col(key).isNotNull() & F.col(since).isNotNull()).withColumn("__rank", F.row_number().over(rank)).where("__rank = 1").drop("__rank")
 
 
-def asof_left_bucketed(events: DataFrame, versions: DataFrame, key: str, at: str, since: str, buckets: int | None = None) -> DataFrame:
+def asof_left_bucketed(events: DataFrame, versions: DataFrame, key: str, at: str, since: str, buckets: int | None = None, load: DataFrame | None = None) -> DataFrame:
     """``events`` with the columns of the version in force: the latest of the same
     ``key`` with ``since`` <= ``at``; nulls where there is none.
 
@@ -36,6 +38,10 @@ def asof_left_bucketed(events: DataFrame, versions: DataFrame, key: str, at: str
     then its events stream through in Arrow batches, so memory holds the versions
     of a bucket and one batch, however many events there are. Events with a null
     key or time keep null attributes.
+
+    Hot entities are found by counting keys in ``events``; ``load``, rows with the
+    same column ``key``, may stand in for them where events are costly to compute:
+    a skewed count only makes the buckets less even, never the result wrong.
     """
     spark = events.sparkSession
     n = buckets or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
@@ -43,7 +49,7 @@ def asof_left_bucketed(events: DataFrame, versions: DataFrame, key: str, at: str
     schema = StructType([*events.schema.fields, *[StructField(f.name, f.dataType, True) for f in carried]])
 
     # at most n keys can hold more than 1/n of the rows: a bound on what is broadcast
-    counts = events.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = (events if load is None else load).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n").alias("__all"))
     hot = counts.crossJoin(F.broadcast(total)).where(F.col("__n") * n > F.col("__all")).select("__hot", F.ceil(F.col("__n") * n / F.col("__all")).cast("int").alias("__salts"))
     hot = F.broadcast(hot)
@@ -120,3 +126,18 @@ def asof_left(events: DataFrame, versions: DataFrame, key: str, at: str, since:
     order = Window.partitionBy("__key").orderBy(F.col("__t").asc_nulls_first(), "__side").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.when(F.col("__t").isNotNull() & F.col("__key").isNotNull(), F.last("__v", ignorenulls=True).over(order))
     return left.unionByName(right).withColumn("__seen", seen).where("__side = 1").select("__e.*", *[F.col(f"__seen.{c}").alias(c) for c in carry])
+
+
+def asof_left_history(events: DataFrame, versions: DataFrame, key: str, at: str, since: str, carry: list[str], longest: int = 10_000) -> DataFrame:
+    """As-of join against short histories: the versions of an entity become one sorted
+    array, events are joined to it by key (broadcast or not, as sizes have it; a hot
+    key is split by adaptive execution), and the last version not after the event is
+    picked in place. A history of more than ``longest`` versions is an error: use
+    :func:`asof_left_bucketed`. Versions must be unique per (key, since)."""
+    v = versions.where(F.col(key).isNotNull() & F.col(since).isNotNull())
+    held = F.array_sort(F.collect_list(F.struct(F.col(since).alias("since"), F.struct(*carry).alias("v"))))
+    history = v.groupBy(F.col(key).alias("__key")).agg(held.alias("__h"))
+    history = history.withColumn("__h", F.when(F.size("__h") <= longest, F.col("__h")).otherwise(F.raise_error(F.lit("a history is too long"))))
+    known = events.join(history, F.col(key) == F.col("__key"), "left")
+    found = F.get(F.reverse(F.filter("__h", lambda x: x["since"] <= F.col(at))), F.lit(0))
+    return known.withColumn("__f", found).select(*events.columns, *[F.col(f"__f.v.{c}").alias(c) for c in carry])

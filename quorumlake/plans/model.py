@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quorumlake.functions.dates import to_day, to_moment
 from quorumlake.functions.sqlfn import arg_max, count_if, safe_div
 from quorumlake.functions.text import name_key, utrim
-from quorumlake.operators.asof import asof_left, current_versions
+from quorumlake.operators.asof import asof_left_history, current_versions
 from quorumlake.operators.packed import split_packed
 from quorumlake.session import materialize, table
 
@@ -182,7 +182,7 @@ class Model:
         v = self.votes.select("vote_id", "knesset_num", "vote_date", "bill_id", "stage")
         b = self.ballots.select("ballot_id", "vote_id", "member_id", F.nullif(utrim(F.col("source_faction_name")), F.lit("")).alias("source_faction"), "vote_result_id").join(v, "vote_id")
         stints = self.stints.select("member_id", "start_date", F.col("faction_name").alias("stint_faction"))
-        b = asof_left(b, stints, "member_id", "vote_date", "start_date", ["stint_faction"])
+        b = asof_left_history(b, stints, "member_id", "vote_date", "start_date", ["stint_faction"])
         b = b.withColumn("faction_name", F.coalesce("source_faction", "stint_faction"))
         b = b.join(self.lineage, ["faction_name", "knesset_num"], "left").join(self.coalition_spans, ["party_id", "knesset_num"], "left")
         inside = F.coalesce(F.exists("spans", lambda x: (x["s"] <= F.col("vote_date")) & (x["e"].isNull() | (F.col("vote_date") < x["e"]))), F.lit(False))

@@ -97,7 +97,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     events = ballots.join(votes, "vote_id").groupBy("vote_id", "ballot_id").agg(F.max("member_id").alias("member_id"), F.max("voted_at").alias("voted_at"), F.max("vote_term").alias("vote_term")).drop("vote_id")
     stints = table(spark, sf, "bridge_member_factions").select("member_id", to_moment(F.col("begin_date")).alias("begin_at"), "knesset_num", "faction_name").distinct()
     stints = current_versions(stints, "member_id", "begin_at", [F.col("knesset_num").desc_nulls_last(), F.col("faction_name").desc_nulls_last()]).drop("knesset_num")
-    known = asof_left_bucketed(events, stints, "member_id", "voted_at", "begin_at")
+    known = asof_left_bucketed(events, stints, "member_id", "voted_at", "begin_at", load=ballots)
     spans = (
         table(spark, sf, "coalition_membership")
         .where("`start` is not null")

@@ -2,9 +2,10 @@ import bisect
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from quorumlake.operators.asof import asof_left, asof_left_bucketed, current_versions
+from quorumlake.operators.asof import asof_left, asof_left_bucketed, asof_left_history, current_versions
 
 T = dt.datetime(2020, 1, 1)
 
@@ -38,6 +39,14 @@ def test_bucketed_with_a_hot_key(spark):
         assert len(got) == len(want) and {r["id"]: (r["since"], r["label"]) for r in got} == want
 
 
+def test_history_form(spark):
+    e, v, want = data(spark)
+    got = asof_left_history(e, v.withColumn("t", F.col("since")), "k", "at", "since", ["t", "label"]).collect()
+    assert len(got) == len(want) and {r["id"]: (r["t"], r["label"]) for r in got} == want
+    with pytest.raises(Exception, match="too long"):
+        asof_left_history(e, v, "k", "at", "since", ["label"], longest=3).collect()
+
+
 def test_window_form(spark):
     e, v, want = data(spark)
     got = asof_left(e, v.withColumn("t", F.col("since")), "k", "at", "since", ["t", "label"]).collect()
