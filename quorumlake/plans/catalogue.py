@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from quorumlake.plans import constructs, oracle, pages_catalogue, pipeline, problems
+from quorumlake.plans import constructs, oracle, pages_catalogue, pipeline, problems, views
 
 FLAGSHIP = "q41_party_votes"
 
 
 def queries() -> dict:
-    return {**problems.QUERIES, **constructs.QUERIES, **pipeline.QUERIES, **pages_catalogue.QUERIES}
+    return {**problems.QUERIES, **constructs.QUERIES, **pipeline.QUERIES, **pages_catalogue.QUERIES, **views.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

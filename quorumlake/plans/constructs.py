@@ -39,10 +39,11 @@ SHARED = {
     "join_inner_using": "select o_orderkey, c_name from {orders} join {customer} on o_custkey = c_custkey where o_totalprice > 400000",
     "join_two_keys": "select a.n_nationkey, b.n_name from {nation} a join {nation} b on a.n_regionkey = b.n_regionkey and a.n_nationkey = b.n_nationkey",
     "join_left_chain": "select c_custkey, n_name, r_name from {customer} left join {nation} on c_nationkey = n_nationkey and n_regionkey < 3 left join {region} on n_regionkey = r_regionkey",
-    "join_interval_half_open": "select s.s_suppkey, count(*) as n from {supplier} s join (select o_orderkey, cast(o_orderdate as date) as d, pmod_key from (select o_orderkey, o_orderdate, o_orderkey % 100 as pmod_key from {orders}) x) o on o.pmod_key = s.s_suppkey and o.d >= date '1996-01-01' and (s.s_nationkey < 5 or o.d < date '1997-01-01') group by s.s_suppkey",
+    "join_interval_half_open": "select o.o_custkey, count(*) as n from {orders} o join (select o_custkey, min(o_orderdate) as s, case when count(*) > 1 then max(o_orderdate) end as e from {orders} group by o_custkey) w on w.o_custkey = o.o_custkey and o.o_orderdate >= w.s and (w.e is null or o.o_orderdate < w.e) group by o.o_custkey",
+    "join_service_window": "select w.c_nationkey, count(*) as n from {orders} o join (select c_custkey, c_nationkey, min(o_orderdate) as first_day, max(o_orderdate) as last_day from {orders} join {customer} on o_custkey = c_custkey where o_orderstatus = 'F' group by c_custkey, c_nationkey) w on w.c_custkey = o.o_custkey and o.o_orderdate between w.first_day and w.last_day group by w.c_nationkey",
     "join_absent": "select c.c_custkey, o.o_orderkey is null as absent from {customer} c left join (select o_custkey, min(o_orderkey) as o_orderkey from {orders} where o_orderstatus = 'P' group by o_custkey) o on o.o_custkey = c.c_custkey",
     "join_coalesce_key": "select t.k, n.n_name from (select s_suppkey, coalesce(nullif(s_nationkey, 3), 7) as k from {supplier}) t join {nation} n on n.n_nationkey = t.k",
-    "join_self_similarity": "select a.l_suppkey as s1, b.l_suppkey as s2, count(*) as n_common, sum(case when a.l_returnflag = b.l_returnflag then 1 else 0 end) as n_same from (select distinct l_orderkey, l_suppkey, l_returnflag from {lineitem} where l_suppkey <= 5) a join (select distinct l_orderkey, l_suppkey, l_returnflag from {lineitem} where l_suppkey <= 5) b on a.l_orderkey = b.l_orderkey and a.l_suppkey < b.l_suppkey group by a.l_suppkey, b.l_suppkey",
+    "join_self_similarity": "select a.l_suppkey as s1, b.l_suppkey as s2, count(*) as n_common, sum(case when a.l_returnflag = b.l_returnflag then 1 else 0 end) as n_same from (select distinct l_orderkey, l_suppkey, l_returnflag from {lineitem}) a join (select distinct l_orderkey, l_suppkey, l_returnflag from {lineitem}) b on a.l_orderkey = b.l_orderkey and a.l_suppkey < b.l_suppkey group by a.l_suppkey, b.l_suppkey",
     "join_cross_scalar": "select r_name, n_nations, n_all from (select n_regionkey, count(*) as n_nations from {nation} group by n_regionkey) t join {region} on r_regionkey = n_regionkey cross join (select count(*) as n_all from {nation}) u",
     "join_semi": "select c_custkey from {customer} where c_custkey in (select o_custkey from {orders} where o_totalprice > 450000)",
     "join_anti": "select c_custkey from {customer} where c_custkey not in (select o_custkey from {orders} where o_custkey is not null and o_totalprice > 100000)",
@@ -64,7 +65,7 @@ SHARED = {
     "win_total_count": "select c_custkey, count(*) over () as total from {customer} where c_acctbal > 9900",
     "win_dedup_first": "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as rn from {events}) t where rn = 1",
     "win_dedup_last": "select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from {events}) t where rn = 1",
-    "win_ordinal": "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as ordinal from {orders} where o_custkey < 200",
+    "win_ordinal": "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as ordinal from {orders}",
     "sort_conditional": "select o_orderkey from {orders} order by case when o_orderstatus = 'F' then o_totalprice end desc nulls last, o_orderkey limit 40",
     "sort_nulls_last": "select p_partkey, nullif(p_size, 5) as size0 from {part} order by size0 asc nulls last, p_partkey limit 30",
     "topk": "select o_orderkey, o_totalprice from {orders} order by o_totalprice desc, o_orderkey limit 20",
@@ -191,7 +192,7 @@ def content_key(spark, sf):
 
 
 def fmt_ids(spark, sf):
-    o = table(spark, sf, "orders").where("o_custkey < 100")
+    o = table(spark, sf, "orders")
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
     f = o.select(F.format_string("%d:%04d", "o_custkey", n).alias("id"))
     return f.select("id", F.substring_index("id", ":", 1).alias("parent"))
@@ -269,5 +270,5 @@ ORACLE_SQL = {
     "coverage_pivot": "select source, count(*) n, count(text) n_text, round(count(text) * 100.0::double / count(*), 1) pct from documents group by 1",
     "pie_slices": "with s as (select l_suppkey, count(*) n from lineitem group by 1), own as (select l_suppkey from s where n * 100 >= 3 * (select sum(n) from s) order by n desc, l_suppkey limit 10) select coalesce(own.l_suppkey::varchar, 'other') slice, sum(n)::bigint n from s left join own using (l_suppkey) group by 1",
     "rising_fading": "with d as (select o_orderpriority, count(*) filter (where year(o_orderdate) = 1999) - count(*) filter (where year(o_orderdate) = 1998) delta from orders group by 1) (select *, 'rising' side from d where delta > 0 order by delta desc, 1 limit 5) union all (select *, 'fading' from d where delta < 0 order by delta, 1 limit 5)",
-    "fmt_ids": "select o_custkey || ':' || lpad((row_number() over (partition by o_custkey order by o_orderkey) - 1)::varchar, 4, '0') id, o_custkey::varchar parent from orders where o_custkey < 100",
+    "fmt_ids": "select o_custkey || ':' || lpad((row_number() over (partition by o_custkey order by o_orderkey) - 1)::varchar, 4, '0') id, o_custkey::varchar parent from orders",
 }

@@ -151,6 +151,11 @@ _SELECTS = {
     "q49_vote_evidence": f"select concept_id, concept_label, bullet, is_primary from {_EVIDENCE} join concept using (concept_id) where bill_id = (select bill_id from vote where vote_id = {_V})",
     "q50_votes": _paged("vote_id, vote_date::varchar vote_date, item_title, stage, n_for, n_against, n_abstain, accepted", f"vote where knesset_num = {_K} and stage = 'first' and item_title ilike '%חוק%'", "ts desc nulls last, vote_id desc"),
     "q51_votes_summary": f"select count(*) n, round(avg(accepted::int), 6) accepted_share, count_if(n_against >= 10) contested from vote where knesset_num = {_K} and stage = 'first' and item_title ilike '%חוק%'",
+    "c01_laws_wide": "select year(first_vote_date)::int \"year\", count(*) filter (where passed) n_passed, count(*) filter (where not passed) n_other from bill where first_vote_date is not null group by 1",
+    "c02_concepts_wide": "select \"year\", " + ", ".join(f"count(distinct if(rn = {i}, bill_id, null)) c{i}" for i in range(1, 6)) + " from (select year(first_vote_date)::int \"year\", rn, bill_id from (select concept_id, row_number() over (order by n_bills desc, concept_id) rn from concept where not is_generic order by rn limit 5) join tag using (concept_id) join bill using (bill_id) where first_vote_date is not null) group by 1",
+    "c04_member_median": f"select round(median(round(n_ballots / eligible, 6)), 6) median_participation from could join member using (member_id) where knesset_num = {_K} and eligible > 0",
+    "c11_coalition_seats": f"select coalesce(sum(if(x >= 0.5, n, 0)), 0)::bigint seats from (select last_party_id party_id, count(*) n from could where knesset_num = {_K} and eligible > 0 group by 1) join (select party_id, avg(is_coalition::int) x from pv where knesset_num = {_K} group by 1) using (party_id)",
+    "c12_funnel_filled": f"select stage, coalesce(bills, 0) bills from (select unnest(['preliminary', 'first', 'third']) stage) left join (select stage, count(distinct bill_id) bills from vote where knesset_num = {_K} group by 1) using (stage)",
 }
 
 _EXTRA = {

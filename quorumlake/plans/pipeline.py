@@ -100,6 +100,23 @@ def candidate_table(spark, sf) -> DataFrame:
     return marts.candidate_table(marts.cluster_composition(a), a)
 
 
+def representative_evidence(spark, sf) -> DataFrame:
+    return marts.representative_evidence(_assigned(spark, sf), table(spark, sf, "cluster_result").groupBy("bullet_row_id").agg(F.min("bullet").alias("bullet")))
+
+
+def bullet_accounting(spark, sf) -> DataFrame:
+    c = chunks(spark, sf).select("chunk_id")
+    b = tag_extract(spark, sf).where("state = 'success'").select(F.concat(C("doc_id").cast("string"), F.lit(":0000")).alias("chunk_id"))
+    return marts.bullet_accounting(c, b).groupBy("n_bullets").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+def dim_bullets(spark, sf) -> DataFrame:
+    a = _assigned(spark, sf)
+    links = marts.bridge_bill_concepts(marts.bridge_bill_clusters(a), _concepts(spark, sf), a.select("bullet_row_id", "chunk_id"))
+    b = table(spark, sf, "cluster_result").groupBy("bullet_row_id").agg(F.min("bill_id").alias("bill_id"), F.min("bullet").alias("bullet"))
+    return marts.dim_bullets(links, _concepts(spark, sf), b)
+
+
 def dq_report(spark, sf) -> DataFrame:
     return quality.quality_report(Model.of(spark, sf))
 
@@ -129,7 +146,7 @@ def doc_select(spark, sf) -> DataFrame:
     return marts.select_documents(t["record"].select(C("record_id").alias("bill_id")).distinct(), docs)
 
 
-QUERIES = {f.__name__: f for f in (units, chunks, tag_extract, embed_input, knn_cosine, density_run, dim_clusters, bridge_bill_clusters, bridge_bill_concepts, bill_concepts, cluster_composition, candidate_table, dq_report, collection_summary, dq_concept_report, doc_select)}
+QUERIES = {f.__name__: f for f in (units, chunks, tag_extract, embed_input, knn_cosine, density_run, dim_clusters, bridge_bill_clusters, bridge_bill_concepts, bill_concepts, cluster_composition, candidate_table, representative_evidence, bullet_accounting, dim_bullets, dq_report, collection_summary, dq_concept_report, doc_select)}
 QUERIES["legal_units"] = QUERIES.pop("units")
 
 _A = "(select bullet_row_id, min(bill_id) bill_id, min(row_no) bullet_ordinal, min(bill_id)::varchar || ':0000' chunk_id, 'earlier_run' cluster_run_id, min(labels) cluster_id, coalesce(max(probabilities), 0.0) p from cluster_result where labels is not null group by 1)"

@@ -153,3 +153,27 @@ def test_providers(spark):
     status = spark.createDataFrame([(1, "success", "v"), (2, "failed", "v"), (3, "success", "old")], "id int, state string, version string")
     assert {r["id"] for r in providers.pending(df, status, "id", "v").collect()} == {2, 3}
     assert providers.stub_embeddings(["a b"])[0] == providers.stub_embeddings(["b a"])[0]
+
+
+def test_prompts():
+    from quorumlake.functions import prompts
+
+    assert prompts.fill("{a} and {b}", a="x", b="y") == "x and y"
+    with pytest.raises(ValueError, match="b"):
+        prompts.fill("{a} {b}", a="x")
+    assert prompts.json_object('say ```json\n{"a": {"b": 1}}\n``` done') == {"a": {"b": 1}} == prompts.json_object('x {"a": {"b": 1}} y')
+    for bad in ("none", "} {"):
+        with pytest.raises(ValueError):
+            prompts.json_object(bad)
+    assert prompts.concept_id("r", 1, "n", "p") != prompts.concept_id("r", 2, "n", "p") and len(prompts.prompt_hash("a", "b")) == 16
+    with pytest.raises(ValueError):
+        prompts.check_examples(["a", "z"], {"a"})
+
+
+def test_dim_bullets_refuses_unresolved(spark):
+    links = spark.createDataFrame([("a", ["a", "b"])], "primary_evidence_bullet_id string, bullet_ids array<string>")
+    concepts = spark.createDataFrame([(["a"],)], "representative_bullet_ids array<string>")
+    good = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "bullet_row_id string, bill_id int, bullet string")
+    assert marts.dim_bullets(links, concepts, good).count() == 2
+    with pytest.raises(ValueError):
+        marts.dim_bullets(links, concepts, good.limit(1))
