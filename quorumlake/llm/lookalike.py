@@ -1,6 +1,6 @@
 """One consistent form for texts that look the same.
 
-A quick check (one compiled character class) finds the characters that may be
+A quick check (a table by code point) finds the characters that may be
 unstable: those that the canonical form changes, and marks that combine with what
 stands before them. Only the segments around them, with their starter as boundary
 context, are normalised; the canonical segments are spliced into the unchanged
@@ -9,11 +9,11 @@ text. A text without unstable characters is returned as it is.
 
 from __future__ import annotations
 
-import re
 import sys
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +47,8 @@ _BLANK_SIGNS = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[dict[int, str], dict[int, str], re.Pattern]:
-    """(first replacement, same-shape letters, unstable segments), built by rule."""
+def _tables() -> tuple[dict[int, str], dict[int, str], np.ndarray]:
+    """(first replacement, same-shape letters, quick check by code point), by rule."""
     first: dict[int, str] = {}
     for code in range(sys.maxunicode + 1):
         if 0xD800 <= code < 0xE000:
@@ -89,26 +89,16 @@ def _tables() -> tuple[dict[int, str], dict[int, str], re.Pattern]:
             d = unicodedata.normalize("NFD", char)
             if not unicodedata.is_normalized("NFC", char) or any(ord(c) in shape for c in d):
                 unstable.append(code)
-    spans, begin = [], None
-    for code in unstable:
-        if begin is not None and code == last + 1:
-            last = code
-            continue
-        if begin is not None:
-            spans.append((begin, last))
-        begin = last = code
-    spans.append((begin, last))
-    inside = "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in spans)
-    return first, shape, re.compile(f"(?s:.)?[{inside}]+|\r\n?")
+    check = np.zeros(sys.maxunicode + 1, dtype=bool)
+    check[[*unstable, ord("\r")]] = True
+    return first, shape, check
 
 
 @lru_cache(maxsize=100_000)
 def _canonical_segment(segment: str) -> str:
     first, shape, _ = _tables()
-    if segment[0] == "\r" and len(segment) <= 2 and segment.strip("\r\n") == "":
-        return "\n"
-    if segment[0] == "\r":
-        segment = "\n" + segment[1:]
+    if "\r" in segment:
+        segment = segment.replace("\r\n", "\n").replace("\r", "\n")
     letters = unicodedata.normalize("NFD", segment.translate(first))
     return unicodedata.normalize("NFC", letters.translate(shape))
 
@@ -122,15 +112,27 @@ def canonical(text: str | None) -> str | None:
     """
     if not text:
         return text
-    segments = _tables()[2]
-    if "\r" not in text and text.isascii() and "\t" not in text and text.isprintable():
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    at = np.flatnonzero(_tables()[2][codes])
+    if not len(at):
         return text
-
-    def splice(found: re.Match) -> str:
-        segment = found.group()
-        return _canonical_segment(segment) if len(segment) <= 64 else _canonical_segment.__wrapped__(segment)
-
-    return segments.sub(splice, text)
+    breaks = np.flatnonzero(np.diff(at) > 1)
+    begins, ends = at[np.r_[0, breaks + 1]].tolist(), (at[np.r_[breaks, len(at) - 1]] + 1).tolist()
+    out, done, n = [], 0, len(text)
+    for begin, end in zip(begins, ends):
+        if end <= done:
+            continue
+        # boundary context: the starter before; and a line feed after a carriage return
+        begin -= begin > done
+        if text[end - 1] == "\r" and end < n and text[end] == "\n":
+            end += 1
+        if begin > done:
+            out.append(text[done:begin])
+        segment = text[begin:end]
+        out.append(_canonical_segment(segment) if end - begin <= 16 else _canonical_segment.__wrapped__(segment))
+        done = end
+    out.append(text[done:])
+    return "".join(out)
 
 
 def canonical_texts(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
