@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import os
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -88,6 +89,23 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class _Pieces(dict):
+    """Ids of pieces as packed 32-bit numbers; unknown ones are merged when asked for.
+    Long pieces are not kept, and the memory is emptied when it is full."""
+
+    def __init__(self, ranks: dict[bytes, int], remember: int):
+        super().__init__()
+        self.ranks, self.remember = ranks, remember
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("i", merge_bytes(piece.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
+        if len(piece) <= 64:
+            if len(self) >= self.remember:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts; pieces seen before come from a bounded memory."""
 
@@ -96,25 +114,14 @@ class Encoder:
 
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
-        self.remember = remember
+        self.pieces = _Pieces(self.ranks, remember)
+
+    def packed(self, text: str | None) -> bytes:
+        """Ids without special tokens as 32-bit numbers; empty for null and empty texts."""
+        return b"".join(map(self.pieces.__getitem__, self.split(text))) if text else b""
 
     def encode(self, text: str | None) -> list[int]:
-        """Ids without special tokens; null and empty texts give an empty list."""
-        out: list[int] = []
-        if not text:
-            return out
-        known, add = self.known, out.extend
-        for piece in self.split(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = merge_bytes(piece.encode("utf-8", "surrogatepass"), self.ranks)
-                if len(piece) <= 64:
-                    if len(known) >= self.remember:
-                        known.clear()
-                    known[piece] = ids
-            add(ids)
-        return out
+        return array("i", self.packed(text)).tolist()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -131,13 +138,12 @@ def vocabulary_path(directory: str | None = None, name: str = VOCABULARY) -> str
     return os.path.join(directory or TOKENIZER_DIR, f"{name}.tiktoken")
 
 
-def _lists(ids: list[list[int]]):
+def _lists(packed: list[bytes]):
     import numpy as np
     import pyarrow as pa
 
-    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-    flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
 
 
 def encode_corpus(df: DataFrame, id_column: str, text_column: str, path: str | None = None) -> DataFrame:
@@ -153,7 +159,7 @@ def encode_corpus(df: DataFrame, id_column: str, text_column: str, path: str | N
 
         from quorumlake.llm.tokens import encoder as held
 
-        encode = held(where).encode
+        encode = held(where).packed
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, len(ids), 256):
@@ -173,9 +179,9 @@ def count_tokens(df: DataFrame, id_column: str, text_column: str, path: str | No
 
         from quorumlake.llm.tokens import encoder as held
 
-        encode = held(where).encode
+        encode = held(where).packed
         for batch in batches:
-            n = [len(encode(t)) for t in batch.column(1).to_pylist()]
+            n = [len(encode(t)) // 4 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=[id_column, "n_tokens"])
 
     kind = df.schema[id_column].dataType.simpleString()
