@@ -106,8 +106,30 @@ class _Pieces(dict):
         return ids
 
 
+class _Words(dict):
+    """Packed ids of whole words with the space before them."""
+
+    def __init__(self, split, pieces: _Pieces, remember: int):
+        super().__init__()
+        self.split, self.pieces, self.remember = split, pieces, remember
+
+    def __missing__(self, word: str) -> bytes:
+        ids = b"".join(map(self.pieces.__getitem__, self.split(word)))
+        if len(word) <= 64:
+            if len(self) >= self.remember:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
-    """Encodes texts; pieces seen before come from a bounded memory."""
+    """Encodes texts; words and pieces seen before come from a bounded memory.
+
+    The pattern always breaks before a lone space between two other characters, as
+    only a space can open a piece and no piece goes over one. So a text without
+    white space beside a space is looked up word by word, and only new words are
+    split into pieces.
+    """
 
     def __init__(self, path: str, pattern: str = PATTERN, remember: int = 200_000):
         import regex
@@ -115,10 +137,17 @@ class Encoder:
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
         self.pieces = _Pieces(self.ranks, remember)
+        self.words = _Words(self.split, self.pieces, remember) if pattern == PATTERN else None
+        self.uneven = regex.compile(r" \s|\s ").search
 
     def packed(self, text: str | None) -> bytes:
         """Ids without special tokens as 32-bit numbers; empty for null and empty texts."""
-        return b"".join(map(self.pieces.__getitem__, self.split(text))) if text else b""
+        if not text:
+            return b""
+        if self.words is None or self.uneven(text):
+            return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        first, *rest = text.split(" ")
+        return b"".join(map(self.words.__getitem__, (first, *[" " + w for w in rest])))
 
     def encode(self, text: str | None) -> list[int]:
         return array("i", self.packed(text)).tolist()

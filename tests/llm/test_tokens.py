@@ -23,7 +23,7 @@ def ours():
 def texts():
     rng = random.Random(1)
     alphabet = "abcde ABC אבגדה ושל\n\t .,'0123456789éñ🗳‏"
-    out = ["", " ", "  a", "<|endoftext|>", "it's we'll", "א" * 3000, "x" * 20001, "\n\n\n", "á", "🗳" * 50, "1234567 89"]
+    out = ["", " ", "  a", "<|endoftext|>", "it's we'll", "א" * 3000, "x" * 20001, "\n\n\n", "á", "🗳" * 50, "1234567 89", " lead", "trail ", "a\u00a0 b", "x \u2003y", "a\nb c\n", "don't we 'll", "a \x1cb"]
     return out + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 300))) for _ in range(300)]
 
 
