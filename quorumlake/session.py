@@ -3,14 +3,37 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package once per application, so that Python workers find
+    it wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    here = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(here):  # already read from an archive
+        return
+    folder = tempfile.mkdtemp(prefix="quorumlake-ship-")
+    held = shutil.copytree(here, os.path.join(folder, "src", os.path.basename(here)), ignore=shutil.ignore_patterns("__pycache__"))
+    archive = shutil.make_archive(os.path.join(folder, "quorumlake-package"), "zip", os.path.dirname(held))
+    spark.sparkContext.addPyFile(archive)
+    atexit.register(shutil.rmtree, folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory (a file or a folder of files)."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
