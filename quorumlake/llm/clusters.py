@@ -5,7 +5,8 @@ quantised into cells of several shifted grids; cells with a single record are no
 dense. Two dense cells are adjacent when they share records, and a record counts
 for a cell only if it points nearly the same way as the cell's leader, which is an
 exact check. Minimum labels are propagated over the joined cells until nothing
-changes. A cluster is described by its size and the members of its densest cell.
+changes; the centers of what was found are then joined in the same way on further
+grids, so that no stray record stays behind. A cluster is described by its size and the members of its densest cell.
 
 Large groups never meet in one place: each input partition first collapses the
 records of a fine cell onto one representative, so what is shuffled of a group is
@@ -28,15 +29,17 @@ class Grids:
 
     ``dims``: length of a usable vector. ``near``: cosine from which two records
     point nearly the same way. ``grids`` grids of ``axes`` axes with cells ``width``
-    wide: two records at cosine 0.975 share a cell of one grid with about 0.24, so
-    all 24 grids miss them with 0.002; records in general position share one with
-    1e-5. ``fine_axes``: axes of the fine grid that collapses a partition.
+    wide: two records at cosine 0.96 share a cell of one grid with about 0.19, records
+    in general position with 4e-4. Components found on the first half of the grids
+    are joined on the second half by their centers, which lie much closer to a stray
+    record than its neighbours do: it shares a cell of a grid with a center with
+    about 0.3. ``fine_axes``: axes of the fine grid that collapses a partition.
     """
 
     dims: int = 48
     near: float = 0.86
-    grids: int = 24
-    axes: int = 16
+    grids: int = 32
+    axes: int = 12
     width: float = 0.3
     fine_axes: int = 24
     seed: int = 20240501
@@ -44,6 +47,7 @@ class Grids:
 
 DEFAULT = Grids()
 _EMIT = "id bigint, rep bigint, fine bigint, vec binary, cells array<bigint>"
+_CENTER = "id bigint, vec binary, cells array<bigint>"
 _LINK = "a bigint, b bigint"
 
 
@@ -76,6 +80,62 @@ def _usable(table, g: Grids):
     return ids.to_numpy(zero_copy_only=False)[good].astype(np.int64), unit[good]
 
 
+def _cells(g: Grids, unit, axes, shift, salt):
+    """(keys of the grid cells, key of the fine cell) of unit vectors."""
+    import numpy as np
+
+    bins = np.floor((unit @ axes + shift) / g.width).astype(np.int64)
+    mixed = (bins + 1024) * salt
+    mixed ^= mixed >> 29
+    mixed *= np.int64(0x5851F42D4C957F2D)
+    mixed ^= mixed >> 31
+    n_grid = g.grids * g.axes
+    cells = mixed[:, :n_grid].reshape(len(unit), g.grids, g.axes).sum(axis=2)
+    return cells * np.int64(31) + np.arange(g.grids), mixed[:, n_grid:].sum(axis=1)
+
+
+def _centers(g: Grids):
+    """Label by label, in sorted partitions: the center of its representatives and the
+    cells of the second half of the grids."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        axes, shift, salt = _axes(g)
+        held, total = None, None
+
+        def emit(labels, sums):
+            unit = np.array(sums)
+            unit /= np.linalg.norm(unit, axis=1)[:, None]
+            cells = _cells(g, unit, axes, shift, salt)[0][:, g.grids // 2 :]
+            packed = np.round(unit * 127).astype(np.int8)
+            return pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.array([v.tobytes() for v in packed], pa.binary()), pa.array(cells.tolist(), pa.list_(pa.int64()))], names=["id", "vec", "cells"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            labels = batch.column(0).to_numpy(zero_copy_only=False)
+            vec = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int8).reshape(-1, g.dims).astype(np.float64)
+            begins = np.r_[0, np.nonzero(np.diff(labels))[0] + 1]
+            sums = np.add.reduceat(vec, begins, axis=0)
+            done = ([], [])
+            for label, part in zip(labels[begins].tolist(), sums):
+                if held == label:
+                    total = total + part
+                    continue
+                if held is not None:
+                    done[0].append(held)
+                    done[1].append(total)
+                held, total = label, part
+            if done[0]:
+                yield emit(*done)
+        if held is not None:
+            yield emit([held], [total])
+
+    return run
+
+
 def _collapse(g: Grids):
     """Map side: quantise, collapse each fine cell of the partition, emit grid cells."""
 
@@ -89,15 +149,8 @@ def _collapse(g: Grids):
             ids, unit = _usable(batch, g)
             if not len(ids):
                 continue
-            bins = np.floor((unit @ axes + shift) / g.width).astype(np.int64)
-            mixed = (bins + 1024) * salt
-            mixed ^= mixed >> 29
-            mixed *= np.int64(0x5851F42D4C957F2D)
-            mixed ^= mixed >> 31
-            n_grid = g.grids * g.axes
-            cells = mixed[:, :n_grid].reshape(len(ids), g.grids, g.axes).sum(axis=2)
-            cells = cells * np.int64(31) + np.arange(g.grids)
-            fine = mixed[:, n_grid:].sum(axis=1)
+            cells, fine = _cells(g, unit, axes, shift, salt)
+            cells = cells[:, : g.grids // 2]
             packed = np.round(unit * 127).astype(np.int8)
             out = ([], [], [], [], [])
             for k, (i, f) in enumerate(zip(ids.tolist(), fine.tolist())):
@@ -131,13 +184,18 @@ def _lead(g: Grids):
 
         here, leaders, matrix = None, [], None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             cells = batch.column(0).to_numpy(zero_copy_only=False)
             ids = batch.column(1).to_numpy(zero_copy_only=False)
             vec = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.int8).reshape(-1, g.dims).astype(np.float32)
             vec /= np.linalg.norm(vec, axis=1)[:, None]
             begins = np.r_[0, np.nonzero(np.diff(cells))[0] + 1, len(cells)]
+            # a cell with one record links nothing, unless it goes on in another batch
+            kept = np.diff(begins) > 1
+            kept[[0, -1]] = True
             a, b = [], []
-            for lo, hi in zip(begins[:-1].tolist(), begins[1:].tolist()):
+            for lo, hi in zip(begins[:-1][kept].tolist(), begins[1:][kept].tolist()):
                 if here != cells[lo]:
                     here, leaders, matrix = cells[lo], [], None
                 todo = np.arange(lo, hi)
@@ -195,10 +253,19 @@ def similarity_clusters(df: DataFrame, id_column: str, vector_column: str, at_le
     rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).alias("vector")).where("id is not null and vector is not null").dropDuplicates(["id"])
     emitted = materialize(rows.mapInArrow(_collapse(grids), _EMIT), "cells")
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    cells = emitted.where("vec is not null").select(F.explode("cells").alias("cell"), "id", "vec").repartition(n, "cell").sortWithinPartitions("cell", "id")
-    links = cells.mapInArrow(_lead(grids), _LINK).distinct()
-    labels = propagate_minimum(links).withColumnRenamed("id", "rep")
-    members = emitted.select("id", "rep", "fine").join(labels, "rep", "left").select("id", F.coalesce("label", "rep").alias("label"), "fine")
+
+    def joined(points: DataFrame) -> DataFrame:
+        """(id, label) of points (id, vec, cells) that share dense cells."""
+        cells = points.select(F.explode("cells").alias("cell"), "id", "vec").repartition(n, "cell").sortWithinPartitions("cell", "id")
+        return propagate_minimum(cells.mapInArrow(_lead(grids), _LINK).distinct())
+
+    reps = emitted.where("vec is not null").select("id", "vec", "cells")
+    first = joined(reps)
+    labelled = reps.join(first, "id", "left").select(F.coalesce("label", "id").alias("label"), "vec")
+    centers = materialize(labelled.repartition(n, "label").sortWithinPartitions("label").mapInArrow(_centers(grids), _CENTER), "centers")
+    second = joined(centers).select(F.col("id").alias("label"), F.col("label").alias("whole"))
+    members = emitted.select("id", "rep", "fine").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("label"), "fine")
+    members = members.join(second, "label", "left").select("id", F.coalesce("whole", "label").alias("label"), "fine")
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first_id")).where(F.col("size") >= at_least)
     return members.join(sizes, "label").select("id", "first_id", "size", "fine")
 
