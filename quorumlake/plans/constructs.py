@@ -264,6 +264,9 @@ ORACLE_SQL = {
     "split_unnest": "select p_partkey, generate_subscripts(w, 1)::int - 1 pos, unnest(w) word from (select p_partkey, string_split(p_name, ' ') w from part)",
     "json_props": "select event_id, (props->>'k')::bigint k from events",
     "regex_script": r"select doc_id, not regexp_matches(text, '\p{Hebrew}\p{Latin}|\p{Latin}\p{Hebrew}') unmixed from documents where text is not null",
+    "script_ratio": "select doc_id, round(coalesce(len(regexp_replace(text, '[^\u0590-\u05FF]', '', 'g')) / nullif(len(regexp_replace(text, '[\\s\\p{Z}\\x{85}\\x{b}\\x{1c}-\\x{1f}]', '', 'g')), 0), 0.0), 6) ratio from documents where text is not null",
+    "name_key": "select same_key, count(*) n from (select k1 = k2 same_key from (select distinct member_id, member_name_source from fact_ballots where member_id is not null) b join (select member_id, min(member_name) member_name from dim_members group by 1) m using (member_id), lateral (select array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(member_name_source, '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')), ' ') k1), lateral (select array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(member_name, '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')), ' ') k2)) group by 1",
+    "title_tidy": "select distinct vote_id, regexp_replace(trim(regexp_replace(item_title, '[\\s\\p{Z}]+', ' ', 'g')), '\\.+$', '') title from fact_votes where item_title is not null",
     "term_lookup": "select d.day::varchar \"day\", knesset_num from (select distinct \"start\" \"day\" from coalition_membership where \"start\" is not null) d left join knesset_terms t on d.day >= term_start and (term_end is null or d.day < term_end)",
     "pivot_year_type": "select year(o_orderdate)::int \"year\", count(*) filter (where o_orderstatus = 'F') n_f, count(*) filter (where o_orderstatus = 'O') n_o, count(*) filter (where o_orderstatus = 'P') n_p from orders group by 1",
     "value_counts": "select detail_state, count(*) n from fact_votes group by 1",

@@ -33,6 +33,8 @@ PRIVATE = "פרטית"
 NO_COMMITTEE_YET = "טרם נקבעה"
 TITLES = "^(ד\"ר|עו\"ד|ח\"כ|רו\"ח|פרופ')\\s+"
 COUNTED = ("preliminary", "first", "third")
+#: Labels that mix scripts (fixed pattern).
+MIXED_SCRIPTS = r"[^\p{IsHebrew}\p{IsLatin}\P{L}]|\p{IsHebrew}\p{IsLatin}|\p{IsLatin}\p{IsHebrew}"
 
 
 def first_delivery(df: DataFrame, *key: str, at: str = "loaded_at") -> DataFrame:
@@ -170,8 +172,7 @@ class Model:
         known = F.when(F.col("committee_name") != NO_COMMITTEE_YET, F.col("committee_name"))
         spread = tagged.groupBy("concept_id").agg(F.countDistinct("bill_id").alias("n_bills"), F.countDistinct(known).alias("n_committees"), F.min("knesset_num").alias("k_from"), F.max("knesset_num").alias("k_to"))
         total = tagged.agg(F.countDistinct(known).alias("n_all"))
-        label = F.col("concept_label")
-        mixed = label.rlike(r"[^\p{IsHebrew}\p{IsLatin}\P{L}]|\p{IsHebrew}\p{IsLatin}|\p{IsLatin}\p{IsHebrew}")
+        mixed = F.col("concept_label").rlike(MIXED_SCRIPTS)
         limit = F.greatest(F.lit(3).cast("double"), F.ceil(F.col("n_all") * F.lit(2) / F.lit(10)).cast("double"))
         c = self.raw("dim_concepts").select("concept_id", "concept_label", "concept_criterion").where(~mixed)
         return self._keep(c.join(spread, "concept_id").crossJoin(F.broadcast(total)).withColumn("is_generic", F.col("n_committees") >= limit).drop("n_all"), "concepts")

@@ -153,6 +153,7 @@ _A = "(select bullet_row_id, min(bill_id) bill_id, min(row_no) bullet_ordinal, m
 ORACLE_SQL = {
     "knn_cosine": "select query_id, rank, neighbor_id, similarity from (select q.vec_id query_id, b.vec_id neighbor_id, s similarity0, round(s, 6) similarity, row_number() over (partition by q.vec_id order by s desc, b.vec_id) rank from (select vec_id, embedding::double[] e from embeddings where vec_id % 100 = 0) q, (select vec_id, embedding::double[] e from embeddings) b, lateral (select list_cosine_similarity(q.e, b.e) s) where q.vec_id <> b.vec_id) where rank <= 5",
     "embed_input": "select distinct bullet_row_id, 'passage: ' || case when nullif(trim(name), '') is not null then '[' || trim(name) || '] ' else '' end || bullet embedding_input from cluster_result left join (select bill_id, min(name) name from dim_bills group by 1) using (bill_id)",
+    "candidate_table": f"select cluster_run_id, round(avg((cluster_id = -1)::int), 6) noise_ratio, any_value(n_clusters) n_clusters, any_value(n_single) n_single_bill, any_value(n_multi) n_multi_bill, any_value(largest) largest, any_value(m) mean_prob from {_A} left join (select count(*) n_clusters, count(*) filter (where b = 1) n_single, count(*) filter (where b > 1) n_multi, max(n) largest, round(avg(m), 10) m from (select cluster_id, count(*) n, count(distinct bill_id) b, round(avg(p), 10) m from {_A} where cluster_id <> -1 group by 1)) on true group by 1",
     "collection_summary": quality.SUMMARY_SQL,
     "dim_clusters": f"select cluster_run_id, cluster_id, cluster_id = -1 is_noise, count(*) n_bullets, count(distinct chunk_id) n_chunks, count(distinct bill_id) n_bills, round(avg(p), 10) mean_membership_probability, list(bullet_row_id order by p desc, bullet_row_id)[1:10] representative_bullet_ids from {_A} group by 1, 2",
     "bridge_bill_clusters": f"select *, round(n_bullets / sum(n_bullets) over (partition by bill_id), 6) bill_bullet_share, round(n_bullets / sum(n_bullets) over (partition by cluster_run_id, cluster_id), 6) cluster_bullet_share from (select bill_id, cluster_run_id, cluster_id, cluster_id = -1 is_noise, count(*) n_bullets, count(distinct chunk_id) n_chunks, round(avg(p), 10) mean_cluster_membership_probability, max(p) max_cluster_membership_probability, list(bullet_row_id order by bullet_ordinal, bullet_row_id) bullet_ids, list_sort(list_distinct(list(chunk_id))) chunk_ids, first(bullet_row_id order by p desc, bullet_row_id) primary_bullet_id, first(chunk_id order by p desc, bullet_row_id) primary_chunk_id from {_A} group by 1, 2, 3)",

@@ -155,4 +155,11 @@ _P7 = f"""with v as (select vote_id, max({_moment('vote_datetime')}) vt, max(kne
  k as (select distinct faction_name, l.knesset_num kn, c."start" cs, c."end" ce from faction_lineage l join coalition_membership c using(party_id,knesset_num))
  select ballot_id, coalesce(b::date::varchar,'') begin_day, coalesce(max(cs)::varchar,'') coalition_start from j left join k on j.fn=k.faction_name and j.kn=k.kn and vt::date>=cs and (ce is null or vt::date<ce) group by ballot_id,b"""
 
-ORACLE_SQL = {"p2_found": _P2, "p2_periods": _P2_PERIODS, "p5_found": _P5, "p7_found": _P7}
+# rows of ballots whose vote has a link to a bill that is missing or deleted
+_P5_REPORT = f"""with d as ({_P5}), up as (select distinct row_key from d where table_name = 'bridge_vote_bills' and reason <> 'late'),
+ own as (select distinct row_key from d where table_name = 'fact_ballots' and reason <> 'late'),
+ down as (select distinct 'fact_ballots' table_name, 'vote_id' column_name, ballot_id row_key, vote_id::varchar missing_key, 'inherited' reason, strftime(loaded_at, '%Y-%m') period from fact_ballots where vote_id::varchar in (select row_key from up) and ballot_id not in (select row_key from own)),
+ both_kinds as (select *, 'direct' kind from d union all by name select *, 'inherited' kind from down)
+ select table_name, column_name, period, reason, kind, count(*) n_refs, count(distinct row_key) n_rows from both_kinds group by 1, 2, 3, 4, 5"""
+
+ORACLE_SQL = {"p5_report": _P5_REPORT, "p2_found": _P2, "p2_periods": _P2_PERIODS, "p5_found": _P5, "p7_found": _P7}
