@@ -144,7 +144,9 @@ def canonical_texts(df: DataFrame, id_column: str, text_column: str) -> DataFram
         from quorumlake.llm.lookalike import canonical as form
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([form(t) for t in batch.column(1).to_pylist()], pa.string())], names=[id_column, "form"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([form(t) for t in part.column(1).to_pylist()], pa.string())], names=[id_column, "form"])
 
     kind = df.schema[id_column].dataType.simpleString()
     return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, form string")
@@ -163,7 +165,8 @@ def _digests(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
         for batch in batches:
             ids, forms, stored = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = (pair for at in range(0, batch.num_rows, 256) for pair in zip(*(c.slice(at, 256).to_pylist() for c in batch.columns)))
+            for i, text in rows:
                 if i is None or not text:
                     continue
                 shown = form(text)
