@@ -62,56 +62,53 @@ def asof_left_bucketed(events: DataFrame, versions: DataFrame, key: str, at: str
     left = ev.select(bucket(F.col("__salt")).alias("__bucket"), F.lit(1).alias("__side"), F.struct(*events.columns).alias("__e"), F.lit(None).cast(versions.schema).alias("__v"))
     right = ve.select(bucket(F.col("__salt")).alias("__bucket"), F.lit(0).alias("__side"), F.lit(None).cast(events.schema).alias("__e"), F.struct(*versions.columns).alias("__v"))
     both = left.unionByName(right).repartition(n, "__bucket").sortWithinPartitions("__bucket", "__side")
-    event_columns, carried_columns = list(events.columns), [f.name for f in carried]
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    wanted = to_arrow_schema(schema)
+    picked = ", ".join([f'e."{c}"' for c in events.columns] + [f'v."{f.name}"' for f in carried])
+    query = f'select {picked} from e asof left join v on e."{key}" = v."{key}" and e."{at}" >= v."{since}"'
+    missing = [(f.name, wanted.field(f.name).type) for f in carried]
 
     def run(batches):
         import duckdb
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        db = duckdb.connect(":memory:", config={"threads": 1})
-        here, loaded, ready = None, None, False
-
-        def join(part):
-            db.register("e", part)
-            picked = ", ".join([f'e."{c}"' for c in event_columns] + [f'v."{c}"' for c in carried_columns])
-            found = db.sql(f'select {picked} from e asof left join v on e."{key}" = v."{key}" and e."{at}" >= v."{since}"').to_arrow_table()
-            db.unregister("e")
-            return found
+        def fields(held):  # a struct column as a table
+            return pa.Table.from_arrays([held], ["x"]).flatten().rename_columns([f.name for f in held.type])
 
+        db = duckdb.connect(":memory:", config={"threads": 1})
+        here, known, ready = None, None, False
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            marks = table.column("__bucket").combine_chunks()
+            marks = table.column("__bucket")
             for b in pc.unique(marks).to_pylist():
                 part = table.filter(pc.equal(marks, b))
-                side = part.column("__side")
                 if b != here:
-                    here, loaded = b, None
-                new = part.filter(pc.equal(side, 0)).column("__v")
+                    here, known, ready = b, None, False
+                is_event = pc.equal(part.column("__side"), 1)
+                new, asked = part.filter(pc.invert(is_event)).column("__v"), part.filter(is_event).column("__e")
                 if len(new):
-                    rows = pa.Table.from_batches([x for x in pa.Table.from_arrays([new], ["v"]).flatten().rename_columns([f.name for f in new.type]).to_batches()])
-                    loaded, ready = rows if loaded is None else pa.concat_tables([loaded, rows]), False
-                asked = part.filter(pc.equal(side, 1)).column("__e")
+                    rows = fields(new)
+                    known, ready = rows if known is None else pa.concat_tables([known, rows]), False
                 if not len(asked):
                     continue
-                rows = pa.Table.from_arrays([asked], ["e"]).flatten().rename_columns([f.name for f in asked.type])
-                if loaded is None:
-                    out = rows
-                    for name, kind in zip(carried_columns, types):
-                        out = out.append_column(name, pa.nulls(len(rows), kind))
+                found = fields(asked)
+                if known is None:
+                    for name, kind in missing:
+                        found = found.append_column(name, pa.nulls(len(found), kind))
                 else:
                     if not ready:
-                        db.register("v_in", loaded)
-                        db.execute("create or replace table v as select * from v_in").fetchall()
-                        db.unregister("v_in")
+                        db.register("arrived", known)
+                        db.execute("create or replace table v as select * from arrived").fetchall()
+                        db.unregister("arrived")
                         ready = True
-                    out = join(rows)
-                yield from out.cast(wanted).to_batches()
+                    db.register("e", found)
+                    found = db.sql(query).to_arrow_table()
+                    db.unregister("e")
+                yield from found.cast(wanted).to_batches()
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    wanted = to_arrow_schema(schema)
-    types = [wanted.field(c).type for c in carried_columns]
     return both.mapInArrow(run, schema)
 
 
