@@ -32,9 +32,9 @@ SHARED = {
     "is_distinct_from": "select p_partkey, nullif(p_size, 5) is distinct from 7 as differs from {part}",
     "like_contains": "select p_partkey from {part} where p_name like '%a%' and p_type like '%'",
     "ilike_contains": "select n_nationkey, n_name from {nation} where n_name ilike '%N_1%'",
-    "case_first_match": "select l_returnflag, sum(case when l_quantity < 10 then 1 when l_quantity < 30 then 2 else 3 end) as score from (select l_returnflag, l_quantity from {lineitem}) t group by l_returnflag",
+    "case_first_match": "select l_returnflag, cast(sum(case when l_quantity < 10 then 1 when l_quantity < 30 then 2 else 3 end) as bigint) as score from (select l_returnflag, l_quantity from {lineitem}) t group by l_returnflag",
     "case_on_value": "select o_orderkey, case o_orderstatus when 'F' then 'final' when 'O' then 'open' else 'other' end as state from {orders}",
-    "scalar_functions": "select p_partkey, coalesce(nullif(p_size, 5), 0) as size0, greatest(p_size, 10) as g, abs(p_size - 25) as a, cast(ceil(p_retailprice) as bigint) as c, length(p_name) as len, concat(p_brand, '|', p_type) as label, left(p_name, 4) as head from {part}",
+    "scalar_functions": "select p_partkey, coalesce(nullif(p_size, 5), 0) as size0, greatest(p_size, 10) as g, abs(p_size - 25) as a, cast(ceil(p_retailprice) as bigint) as c, cast(length(p_name) as int) as len, concat(p_brand, '|', p_type) as label, left(p_name, 4) as head from {part}",
     "flag_projection": "select c_custkey, c_acctbal > 0 as solvent from {customer}",
     "join_inner_using": "select o_orderkey, c_name from {orders} join {customer} on o_custkey = c_custkey where o_totalprice > 400000",
     "join_two_keys": "select a.n_nationkey, b.n_name from {nation} a join {nation} b on a.n_regionkey = b.n_regionkey and a.n_nationkey = b.n_nationkey",
@@ -43,7 +43,7 @@ SHARED = {
     "join_service_window": "select w.c_nationkey, count(*) as n from {orders} o join (select c_custkey, c_nationkey, min(o_orderdate) as first_day, max(o_orderdate) as last_day from {orders} join {customer} on o_custkey = c_custkey where o_orderstatus = 'F' group by c_custkey, c_nationkey) w on w.c_custkey = o.o_custkey and o.o_orderdate between w.first_day and w.last_day group by w.c_nationkey",
     "join_absent": "select c.c_custkey, o.o_orderkey is null as absent from {customer} c left join (select o_custkey, min(o_orderkey) as o_orderkey from {orders} where o_orderstatus = 'P' group by o_custkey) o on o.o_custkey = c.c_custkey",
     "join_coalesce_key": "select t.k, n.n_name from (select s_suppkey, coalesce(nullif(s_nationkey, 3), 7) as k from {supplier}) t join {nation} n on n.n_nationkey = t.k",
-    "join_self_similarity": "select a.l_suppkey as s1, b.l_suppkey as s2, count(*) as n_common, sum(case when a.l_returnflag = b.l_returnflag then 1 else 0 end) as n_same from (select distinct l_orderkey, l_suppkey, l_returnflag from {lineitem}) a join (select distinct l_orderkey, l_suppkey, l_returnflag from {lineitem}) b on a.l_orderkey = b.l_orderkey and a.l_suppkey < b.l_suppkey group by a.l_suppkey, b.l_suppkey",
+    "join_self_similarity": "select a.l_suppkey as s1, b.l_suppkey as s2, count(*) as n_common, cast(sum(case when a.l_returnflag = b.l_returnflag then 1 else 0 end) as bigint) as n_same from (select distinct l_orderkey, l_suppkey, l_returnflag from {lineitem}) a join (select distinct l_orderkey, l_suppkey, l_returnflag from {lineitem}) b on a.l_orderkey = b.l_orderkey and a.l_suppkey < b.l_suppkey group by a.l_suppkey, b.l_suppkey",
     "join_cross_scalar": "select r_name, n_nations, n_all from (select n_regionkey, count(*) as n_nations from {nation} group by n_regionkey) t join {region} on r_regionkey = n_regionkey cross join (select count(*) as n_all from {nation}) u",
     "join_semi": "select c_custkey from {customer} where c_custkey in (select o_custkey from {orders} where o_totalprice > 450000)",
     "join_anti": "select c_custkey from {customer} where c_custkey not in (select o_custkey from {orders} where o_custkey is not null and o_totalprice > 100000)",
@@ -60,12 +60,12 @@ SHARED = {
     "agg_two_level": "select cast(n as bigint) as n_orders, count(*) as n_customers from (select o_custkey, count(*) as n from {orders} group by o_custkey) t group by n",
     "agg_distinct": "select distinct o_orderstatus, o_orderpriority from {orders}",
     "agg_global": "select count(*) as n, min(o_orderdate) as first, max(o_orderdate) as last, round(avg(o_totalprice), 4) as mean from {orders}",
-    "win_topn_group": "select c_nationkey, c_custkey, rn from (select c_nationkey, c_custkey, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as rn from {customer}) t where rn <= 5",
+    "win_topn_group": "select c_nationkey, c_custkey, rn from (select c_nationkey, c_custkey, cast(row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as bigint) as rn from {customer}) t where rn <= 5",
     "win_lag_gap": "select user_id, max(gap_s) as longest from (select user_id, cast(date_diff_s as bigint) as gap_s from (select user_id, event_id - lag(event_id) over (partition by user_id order by ts, event_id) as date_diff_s from {events}) a) t group by user_id",
     "win_total_count": "select c_custkey, count(*) over () as total from {customer} where c_acctbal > 9900",
     "win_dedup_first": "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as rn from {events}) t where rn = 1",
     "win_dedup_last": "select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from {events}) t where rn = 1",
-    "win_ordinal": "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as ordinal from {orders}",
+    "win_ordinal": "select o_custkey, o_orderkey, cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as bigint) as ordinal from {orders}",
     "sort_conditional": "select o_orderkey from {orders} order by case when o_orderstatus = 'F' then o_totalprice end desc nulls last, o_orderkey limit 40",
     "sort_nulls_last": "select p_partkey, nullif(p_size, 5) as size0 from {part} order by size0 asc nulls last, p_partkey limit 30",
     "topk": "select o_orderkey, o_totalprice from {orders} order by o_totalprice desc, o_orderkey limit 20",
