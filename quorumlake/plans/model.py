@@ -118,12 +118,12 @@ class Model:
 
     @cached_property
     def links(self) -> DataFrame:
-        """(vote_id, bill_id), one bill per vote: the smallest linked one."""
-        return self.raw("bridge_vote_bills").groupBy("vote_id").agg(F.min("bill_id").alias("bill_id"))
+        """(vote_id, bill_id): every link once."""
+        return self.raw("bridge_vote_bills").where("vote_id is not null and bill_id is not null").select("vote_id", "bill_id").distinct()
 
     @cached_property
-    def votes(self) -> DataFrame:
-        """One row per vote with its bill, moment, tallies and stage."""
+    def _plain_votes(self) -> DataFrame:
+        """One row per vote without its stage; ``bill_id`` is the smallest linked bill."""
         got = first_delivery(self.raw("fact_votes").drop("discovery_date", "discovery_date_count", "counter_total"), "vote_id")
         tallies = self.ballots.groupBy("vote_id").agg(
             count_if(F.col("vote_result_id") == FOR).alias("n_for"), count_if(F.col("vote_result_id") == AGAINST).alias("n_against"), count_if(F.col("vote_result_id") == ABSTAIN).alias("n_abstain")
@@ -131,12 +131,32 @@ class Model:
         zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
         ts = to_moment(F.col("vote_datetime"))
         votes = (
-            got.join(self.links, "vote_id", "left")
+            got.join(self.links.groupBy("vote_id").agg(F.min("bill_id").alias("bill_id")), "vote_id", "left")
             .join(tallies.withColumn("has_ballots", F.lit(True)), "vote_id", "left")
             .select("vote_id", "knesset_num", ts.alias("ts"), ts.cast("date").alias("vote_date"), "item_title", "decision", "reading", "accepted", "lu_item_type", "vote_type", "bill_id", zero("n_for"), zero("n_against"), zero("n_abstain"), F.coalesce("has_ballots", F.lit(False)).alias("has_ballots"))
         )
-        second = votes.where("reading = 2 and bill_id is not null and vote_date is not null").select("bill_id", "vote_date").distinct().withColumn("has_second", F.lit(True))
-        return self._keep(votes.join(second, ["bill_id", "vote_date"], "left").withColumn("stage", _stage()).drop("has_second"), "votes")
+        return self._keep(votes, "plain_votes")
+
+    @cached_property
+    def _second_days(self) -> DataFrame:
+        """(bill_id, vote_date, has_second): days on which a bill had a second reading."""
+        v = self._plain_votes.where("reading = 2 and vote_date is not null").select("vote_id", "vote_date")
+        return v.join(self.links, "vote_id").select("bill_id", "vote_date").distinct().withColumn("has_second", F.lit(True))
+
+    @cached_property
+    def votes(self) -> DataFrame:
+        """One row per vote with its smallest bill, moment, tallies and stage. A second
+        reading on the same day counts when any linked bill had it."""
+        rejected = self._plain_votes.where(F.col("decision") == REJECT).select("vote_id", "vote_date").join(self.links, "vote_id")
+        second = rejected.join(self._second_days, ["bill_id", "vote_date"]).select("vote_id", "has_second").distinct()
+        return self._keep(self._plain_votes.join(second, "vote_id", "left").withColumn("stage", _stage()).drop("has_second"), "votes")
+
+    @cached_property
+    def vote_bills(self) -> DataFrame:
+        """One row per vote and linked bill, with the vote's columns and its stage for
+        that bill. Whatever belongs to bills starts here, not from ``votes``."""
+        v = self._plain_votes.drop("bill_id").join(self.links, "vote_id")
+        return self._keep(v.join(self._second_days, ["bill_id", "vote_date"], "left").withColumn("stage", _stage()).drop("has_second"), "vote_bills")
 
     @cached_property
     def stints(self) -> DataFrame:
@@ -148,7 +168,7 @@ class Model:
     def bills(self) -> DataFrame:
         """One row per bill with its topic and the first dates of its stages."""
         b = first_delivery(self.raw("dim_bills"), "bill_id")
-        dates = self.votes.where("bill_id is not null").groupBy("bill_id").agg(
+        dates = self.vote_bills.groupBy("bill_id").agg(
             F.min("vote_date").alias("first_vote_date"), F.min(F.when(F.col("stage") == "first", F.col("vote_date"))).alias("first_reading_date"), F.min(F.when(F.col("stage") == "third", F.col("vote_date"))).alias("final_date")
         )
         b = b.select("bill_id", "name", "status", "proposal_type", "knesset_num", utrim(F.col("committee_name")).alias("committee_name"), "summary", "initiators", (F.col("status") == PASSED).alias("passed"))
@@ -247,7 +267,7 @@ class Model:
     @cached_property
     def last_vote(self) -> DataFrame:
         """(bill_id, last_vote_id): each bill's latest vote."""
-        return self.votes.where("bill_id is not null and ts is not null").groupBy("bill_id").agg(arg_max(F.col("vote_id"), F.col("ts")).alias("last_vote_id"))
+        return self.vote_bills.where("ts is not null").groupBy("bill_id").agg(arg_max(F.col("vote_id"), F.col("ts")).alias("last_vote_id"))
 
     @cached_property
     def eligible(self) -> DataFrame:

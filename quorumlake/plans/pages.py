@@ -64,7 +64,7 @@ def home_counts(m: Model) -> DataFrame:
 
 
 def recent_laws(m: Model, n: int = 20) -> DataFrame:
-    final = m.votes.where("stage = 'third' and bill_id is not null").groupBy("bill_id").agg(arg_max(C("vote_id"), C("ts")).alias("final_vote_id"))
+    final = m.vote_bills.where("stage = 'third'").groupBy("bill_id").agg(arg_max(C("vote_id"), C("ts")).alias("final_vote_id"))
     top = m.bills.where("passed and final_date is not null").orderBy(*nulls_last("-final_date", "-bill_id")).limit(n)
     return top.join(final, "bill_id", "left").select("bill_id", "name", _text("final_date"), "final_vote_id")
 
@@ -74,7 +74,7 @@ def laws_by_year(m: Model) -> DataFrame:
 
 
 def laws_funnel(m: Model, k: int) -> DataFrame:
-    return m.votes.where(_term(k) & C("stage").isin(*COUNTED)).groupBy("stage").agg(F.countDistinct("bill_id").alias("bills"))
+    return m.vote_bills.where(_term(k) & C("stage").isin(*COUNTED)).groupBy("stage").agg(F.countDistinct("bill_id").alias("bills"))
 
 
 def laws_time(m: Model) -> DataFrame:
@@ -156,10 +156,16 @@ def _tagged(m: Model, concept: str | None = None) -> DataFrame:
     return t.where(C("concept_id") == concept) if concept is not None else t
 
 
+def _counted_tags(m: Model, concept: str | None = None) -> DataFrame:
+    """(vote_id, concept_id), once each, over all linked bills at a counted stage."""
+    v = m.vote_bills.where(C("stage").isin(*COUNTED)).select("vote_id", "bill_id")
+    return v.join(_tagged(m, concept).select("bill_id", "concept_id"), "bill_id").select("vote_id", "concept_id").distinct()
+
+
 def mk_concepts(m: Model, member: int, k: int | None = None) -> DataFrame:
-    b = _own(m, member, k).where(C("stage").isin(*COUNTED) & C("choice").isin(*FOR_AGAINST) & C("bill_id").isNotNull())
+    b = _own(m, member, k).where(C("choice").isin(*FOR_AGAINST))
     c = m.concepts.where("not is_generic").select("concept_id", "concept_label")
-    t = _with_party(m, b).join(_tagged(m).select("bill_id", "concept_id"), "bill_id").join(c, "concept_id")
+    t = _with_party(m, b).join(_counted_tags(m), "vote_id").join(c, "concept_id")
     out = t.groupBy("concept_id", "concept_label").agg(
         F.count(F.lit(1)).alias("n_votes"), share(C("choice") == "for").alias("a_share"), count_if(C("choice") == "for").alias("a_for"), count_if(C("choice") == "against").alias("a_against"),
         _sided(C("p_for"), C("p_against")).alias("b_share"), F.sum("p_for").alias("b_for"), F.sum("p_against").alias("b_against"),
@@ -168,8 +174,9 @@ def mk_concepts(m: Model, member: int, k: int | None = None) -> DataFrame:
 
 
 def mk_concept_votes(m: Model, concept: str, member: int, k: int | None = None) -> DataFrame:
-    b = _own(m, member, k).where(C("choice").isin(*FOR_AGAINST) & C("stage").isin(*COUNTED))
-    t = _with_party(m, b).join(_tagged(m, concept).select("bill_id", C("primary_evidence_bullet_id").alias("bullet_row_id")), "bill_id")
+    b = _own(m, member, k).where(C("choice").isin(*FOR_AGAINST)).drop("bill_id", "stage")
+    tagged = _tagged(m, concept).select("bill_id", C("primary_evidence_bullet_id").alias("bullet_row_id"))
+    t = _with_party(m, b).join(m.vote_bills.where(C("stage").isin(*COUNTED)).select("vote_id", "bill_id", "stage"), "vote_id").join(tagged, "bill_id")
     t = t.join(m.votes.select("vote_id", "ts", "item_title"), "vote_id").join(m.bullets.select("bullet_row_id", "bullet"), "bullet_row_id", "left")
     return t.orderBy(*nulls_last("-ts", "-vote_id")).limit(200).select("vote_id", _text("vote_date"), "item_title", "stage", "choice", "position", "bullet")
 
@@ -207,13 +214,13 @@ def coverage(m: Model) -> DataFrame:
 
 # concepts ----------------------------------------------------------------------
 def concept(m: Model, concept_id: str) -> DataFrame:
-    n = _tagged(m, concept_id).select("bill_id").join(m.votes.select("bill_id", "vote_id"), "bill_id").agg(F.countDistinct("vote_id").alias("n_votes"))
+    n = _tagged(m, concept_id).select("bill_id").join(m.vote_bills.select("bill_id", "vote_id"), "bill_id").agg(F.countDistinct("vote_id").alias("n_votes"))
     return m.concepts.where(C("concept_id") == concept_id).crossJoin(F.broadcast(n))
 
 
 def _concept_ballots(m: Model, concept_id: str) -> DataFrame:
-    b = m.ballots_x.where(C("choice").isin(*FOR_AGAINST) & C("stage").isin(*COUNTED) & C("party_id").isNotNull())
-    return b.join(_tagged(m, concept_id).select("bill_id"), "bill_id")
+    b = m.ballots_x.where(C("choice").isin(*FOR_AGAINST) & C("party_id").isNotNull())
+    return b.join(_counted_tags(m, concept_id), "vote_id", "left_semi")
 
 
 def concept_parties(m: Model, concept_id: str) -> DataFrame:
@@ -223,7 +230,7 @@ def concept_parties(m: Model, concept_id: str) -> DataFrame:
 
 def concept_stages(m: Model, concept_id: str) -> DataFrame:
     """By stage, and totals of counted and uncounted stages (their stage is null)."""
-    v = m.votes.join(_tagged(m, concept_id).select("bill_id"), "bill_id").withColumn("is_counted", C("stage").isin(*COUNTED))
+    v = m.vote_bills.join(_tagged(m, concept_id).select("bill_id"), "bill_id").withColumn("is_counted", C("stage").isin(*COUNTED))
     sets = v.groupingSets([[C("stage")], [C("is_counted")]], C("stage"), C("is_counted"))
     out = sets.agg(F.countDistinct("vote_id").alias("n_votes"), F.countDistinct(F.when(C("n_against") > 0, C("vote_id"))).alias("n_contested"), F.countDistinct("bill_id").alias("n_bills"))
     return out.select("stage", F.coalesce("is_counted", C("stage").isin(*COUNTED)).alias("counted"), "n_votes", "n_contested", "n_bills")
@@ -245,7 +252,8 @@ def concept_evidence(m: Model, concept_id: str) -> DataFrame:
 
 
 def concept_contested(m: Model, concept_id: str, at_least: int = 10) -> DataFrame:
-    v = m.votes.where(C("n_against") >= at_least).join(_tagged(m, concept_id).select("bill_id"), "bill_id")
+    ids = m.vote_bills.join(_tagged(m, concept_id).select("bill_id"), "bill_id").select("vote_id")
+    v = m.votes.where(C("n_against") >= at_least).join(ids, "vote_id", "left_semi")
     return v.orderBy(*nulls_last("-ts", "-vote_id")).limit(50).select("vote_id", _text("vote_date"), "item_title", "stage", "n_for", "n_against", "n_abstain", "accepted")
 
 
@@ -268,7 +276,7 @@ def concepts_summary(m: Model) -> DataFrame:
 
 def concepts_list(m: Model, generic: bool = False, q: str = "") -> DataFrame:
     c = m.concepts.where((C("is_generic") == generic) & text_filter(C("concept_label"), q)).select("concept_id", "concept_label", "n_bills", "k_from", "k_to")
-    t = _tagged(m).select("concept_id", "bill_id").join(c, "concept_id").join(m.bills.select("bill_id", "passed"), "bill_id").join(m.votes.select("bill_id", "vote_id"), "bill_id", "left")
+    t = _tagged(m).select("concept_id", "bill_id").join(c, "concept_id").join(m.bills.select("bill_id", "passed"), "bill_id").join(m.vote_bills.select("bill_id", "vote_id"), "bill_id", "left")
     out = t.groupBy(*c.columns).agg(F.countDistinct("vote_id").alias("n_votes"), F.countDistinct(F.when(C("passed"), C("bill_id"))).alias("n_passed"))
     return out.orderBy(*nulls_last("-n_bills", "concept_label", "concept_id")).limit(60)
 
@@ -325,10 +333,9 @@ def party_kpi(m: Model, party_id: str, k: int | None = None) -> DataFrame:
 
 def party_concepts(m: Model, party_id: str, k: int | None = None) -> DataFrame:
     house = m.party_vote.groupBy("vote_id").agg(F.sum("n_for").alias("k_for"), F.sum("n_against").alias("k_against"))
-    v = m.votes.where(C("stage").isin(*COUNTED) & C("bill_id").isNotNull()).select("vote_id", "bill_id")
     pv = m.party_vote.where((C("party_id") == party_id) & _term(k) & (C("n_for") + C("n_against") > 0)).select("vote_id", "n_for", "n_against")
     c = m.concepts.where("not is_generic").select("concept_id", "concept_label")
-    t = pv.join(v, "vote_id").join(house, "vote_id").join(_tagged(m).select("bill_id", "concept_id"), "bill_id").join(c, "concept_id")
+    t = pv.join(_counted_tags(m), "vote_id").join(house, "vote_id").join(c, "concept_id")
     out = t.groupBy("concept_id", "concept_label").agg(
         F.count(F.lit(1)).alias("n_votes"), _sided(C("n_for"), C("n_against")).alias("a_share"), F.sum("n_for").alias("a_for"), F.sum("n_against").alias("a_against"), _sided(C("k_for"), C("k_against")).alias("b_share"), F.sum("k_for").alias("b_for"), F.sum("k_against").alias("b_against")
     )
@@ -378,21 +385,24 @@ def vote_mks(m: Model, vote_id: int) -> DataFrame:
     return t.select("member_id", "member_name", "party_name", F.coalesce("choice", F.lit("absent")).alias("choice"))
 
 
-def _bill_of(m: Model, vote_id: int) -> DataFrame:
-    return F.broadcast(m.votes.where(C("vote_id") == vote_id).select("bill_id"))
+def _bills_of(m: Model, vote_id: int) -> DataFrame:
+    """All bills linked to a vote."""
+    return F.broadcast(m.vote_bills.where(C("vote_id") == vote_id).select("bill_id"))
 
 
 def bill_path(m: Model, vote_id: int) -> DataFrame:
-    return m.votes.join(_bill_of(m, vote_id), "bill_id").orderBy(*nulls_last("ts", "vote_id")).select("vote_id", _text("vote_date"), "stage", "decision", "accepted", "n_for", "n_against")
+    ids = m.vote_bills.select("bill_id", "vote_id").join(_bills_of(m, vote_id), "bill_id").select("vote_id")
+    return m.votes.join(ids, "vote_id", "left_semi").orderBy(*nulls_last("ts", "vote_id")).select("vote_id", _text("vote_date"), "stage", "decision", "accepted", "n_for", "n_against")
 
 
 def vote_concepts(m: Model, vote_id: int) -> DataFrame:
-    t = _tagged(m).join(_bill_of(m, vote_id), "bill_id").join(m.concepts.select("concept_id", "concept_label", "is_generic"), "concept_id")
+    tagged = _tagged(m).join(_bills_of(m, vote_id), "bill_id").groupBy("concept_id").agg(F.max("bill_bullet_share").alias("bill_bullet_share"))
+    t = tagged.join(m.concepts.select("concept_id", "concept_label", "is_generic"), "concept_id")
     return t.orderBy(*nulls_last("is_generic", "-bill_bullet_share", "concept_id")).select("concept_id", "concept_label", "is_generic")
 
 
 def vote_evidence(m: Model, vote_id: int) -> DataFrame:
-    t = _evidence(m, _tagged(m).join(_bill_of(m, vote_id), "bill_id")).join(m.concepts.select("concept_id", "concept_label", "is_generic"), "concept_id")
+    t = _evidence(m, _tagged(m).join(_bills_of(m, vote_id), "bill_id")).join(m.concepts.select("concept_id", "concept_label", "is_generic"), "concept_id")
     return t.orderBy(*nulls_last("is_generic", "-bill_bullet_share", "-is_primary", "bullet_row_id", "concept_id")).select("concept_id", "concept_label", "bullet", "is_primary")
 
 
@@ -400,7 +410,8 @@ def _listed(m: Model, k: int, stage: str, topic: str, q: str, contested: bool) -
     v = m.votes.where(_term(k) & text_filter(C("item_title"), q))
     v = v.where(C("stage") == stage) if stage != "all" else v
     v = v.where("n_against >= 10") if contested else v
-    return v.join(m.bills.where(C("topic_id") == topic).select("bill_id"), "bill_id", "left_semi") if topic else v
+    ids = m.vote_bills.select("bill_id", "vote_id").join(m.bills.where(C("topic_id") == topic).select("bill_id"), "bill_id").select("vote_id")
+    return v.join(ids, "vote_id", "left_semi") if topic else v
 
 
 def votes(m: Model, k: int, stage: str = "all", topic: str = "", q: str = "", contested: bool = False, number: int = 1) -> DataFrame:

@@ -95,3 +95,22 @@ def test_quality_report(m):
     assert rows["duplicate bill_id"]["status"] == "pass" and rows["vote-bill link without bill"]["violations"] > 0
     with pytest.raises(ValueError, match="blocking"):
         quality.raise_on_blocking(report)
+
+
+def test_all_linked_bills(spark, tmp_path):
+    at = dt.datetime(2020, 1, 1)
+    def one(rows, shape, name):
+        spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    votes = [(1, "2020-02-01", 3, "x"), (2, "2020-01-01", None, "לדחות את ההצעה"), (3, "2020-01-01", 2, "x"), (4, "2020-03-01", None, "x")]
+    rows = [(v, 23, f"{d} 10:00:00", "t", said, r, True, 1, "v", 1, 1, 1, at) for v, d, r, said in votes]
+    one(rows, "vote_id bigint, knesset_num int, vote_datetime string, item_title string, decision string, reading int, accepted boolean, lu_item_type int, vote_type string, discovery_date int, discovery_date_count int, counter_total int, loaded_at timestamp", "fact_votes")
+    one([(1, 1, 1, "f", 7, at)], "ballot_id bigint, vote_id bigint, member_id bigint, source_faction_name string, vote_result_id int, loaded_at timestamp", "fact_ballots")
+    one([(1, 10), (1, 20), (1, 20), (2, 10), (2, 20), (3, 20)], "vote_id bigint, bill_id bigint", "bridge_vote_bills")
+    one([(20, "b", "s", "p", 23, "c", "s", "i", at)], "bill_id bigint, name string, status string, proposal_type string, knesset_num int, committee_name string, summary string, initiators string, loaded_at timestamp", "dim_bills")
+    one([("c", "t")], "committee_name string, topic_id string", "committee_topics")
+    m = Model(spark, str(tmp_path), keep=False)
+    assert [(str(r["first_vote_date"]), str(r["final_date"])) for r in m.bills.collect()] == [("2020-01-01", "2020-02-01")]
+    assert {(r["vote_id"], r["bill_id"], r["stage"]) for r in m.vote_bills.collect()} == {(1, 10, "third"), (1, 20, "third"), (2, 10, "preliminary"), (2, 20, "reservation"), (3, 20, "second")}
+    assert {(r["vote_id"], r["bill_id"], r["stage"], r["n_for"]) for r in m.votes.collect()} == {(1, 10, "third", 1), (2, 10, "reservation", 0), (3, 20, "second", 0), (4, None, "other", 0)}
+    assert {r["vote_id"] for r in P.bill_path(m, 1).collect()} == {1, 2, 3}
