@@ -10,7 +10,7 @@ from quorumlake.operators.nested import flatten_nested
 from quorumlake.operators.vectors import DensityConfig, density_clusters, nearest_neighbors
 from quorumlake.plans import marts, quality
 from quorumlake.plans.model import Model
-from quorumlake.session import table
+from quorumlake.session import materialize, table
 from quorumlake.sources.providers import map_batches, stub_bullets
 
 C = F.col
@@ -33,12 +33,26 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_documents(d, "doc_id", "blocks", 256)
 
 
+def _asked(spark, sf) -> DataFrame:
+    """(chunk_id, text) of all that the provider is given: the text of every chunk, and
+    the headings, which are no part of chunks, packed alike under ids with an ``h``."""
+    block = F.struct(F.lit("text").alias("kind"), F.regexp_extract("text", r"^([^\n]*)", 1).alias("text"), F.array(F.lit("").cast("string")).alias("heading_path"), F.lit(1).alias("page_no"), F.lit("b0000").alias("block_id"))
+    heads = chunk_documents(_documents(spark, sf).select("doc_id", F.array(block).alias("blocks")), "doc_id", "blocks", 256)
+    return chunks(spark, sf).select("chunk_id", "text").unionByName(heads.select(F.replace("chunk_id", F.lit(":"), F.lit(":h")).alias("chunk_id"), "text"))
+
+
+def _bullets(asked: DataFrame, call=stub_bullets) -> DataFrame:
+    """(doc_id, chunk_id, state, bullet_ordinal, bullet): every tagged item of every
+    answer; a text without one keeps a row with an empty bullet."""
+    said = map_batches(asked, "chunk_id", "text", call).withColumn("items", tagged_items(C("result"), "BULLET"))
+    state = F.when(C("state") != "success", C("state")).when(F.size("items") > 0, "success").otherwise("no_usable_quotes")
+    out = said.select("chunk_id", state.alias("state"), F.posexplode_outer("items").alias("bullet_ordinal", "bullet"))
+    return out.select(F.substring_index("chunk_id", ":", 1).cast("bigint").alias("doc_id"), "chunk_id", "state", "bullet_ordinal", F.coalesce("bullet", F.lit("")).alias("bullet"))
+
+
 def tag_extract(spark, sf) -> DataFrame:
-    """Bullets in tags, from the stub provider's answer to each heading."""
-    heads = _documents(spark, sf).select("doc_id", F.regexp_extract("text", r"^([^\n]*)", 1).alias("head"))
-    said = map_batches(heads, "doc_id", "head", stub_bullets)
-    items = tagged_items(C("result"), "BULLET")
-    return said.select("doc_id", F.when(F.size(items) > 0, "success").otherwise("no_usable_quotes").alias("state"), F.coalesce(F.get(items, F.lit(0)), F.lit("")).alias("bullet"))
+    """Bullets in tags, from the stub provider's answers to all chunks and headings."""
+    return _bullets(_asked(spark, sf))
 
 
 def embed_input(spark, sf) -> DataFrame:
@@ -105,9 +119,8 @@ def representative_evidence(spark, sf) -> DataFrame:
 
 
 def bullet_accounting(spark, sf) -> DataFrame:
-    c = chunks(spark, sf).select("chunk_id")
-    b = tag_extract(spark, sf).where("state = 'success'").select(F.concat(C("doc_id").cast("string"), F.lit(":0000")).alias("chunk_id"))
-    return marts.bullet_accounting(c, b).groupBy("n_bullets").agg(F.count(F.lit(1)).alias("n_chunks"))
+    asked = materialize(_asked(spark, sf), "asked")
+    return marts.bullet_accounting(asked, _bullets(asked).where("state = 'success'")).groupBy("n_bullets").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
 def dim_bullets(spark, sf) -> DataFrame:

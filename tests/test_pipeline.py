@@ -78,6 +78,19 @@ def test_density_finds_groups(method):
         DensityConfig(method="x")
 
 
+def test_tags_of_all_chunks(spark, tmp_path):
+    texts = [(1, "head\n" + "\n".join(f"{i}. " + "w " * 200 for i in range(1, 4))), (2, "only a heading"), (3, None)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = pipeline.tag_extract(spark, str(tmp_path)).collect()
+    assert sorted(r["chunk_id"] for r in seen) == ["1:0000", "1:0001", "1:0002", "1:h0000", "2:h0000"] and {r["state"] for r in seen} == {"success"}
+    assert [(r["n_bullets"], r["n_chunks"]) for r in pipeline.bullet_accounting(spark, str(tmp_path)).collect()] == [(1, 5)]
+    asked = spark.createDataFrame([("7:0000", "a"), ("7:0001", "")], "chunk_id string, text string")
+    answers = lambda ts: ["<BULLET>x</BULLET><BULLET>y</BULLET>" if t else "<EMPTY/>" for t in ts]
+    got = {(r["doc_id"], r["chunk_id"], r["state"], r["bullet_ordinal"], r["bullet"]) for r in pipeline._bullets(asked, answers).collect()}
+    assert got == {(7, "7:0000", "success", 0, "x"), (7, "7:0000", "success", 1, "y"), (7, "7:0001", "no_usable_quotes", None, "")}
+    assert {r["state"] for r in pipeline._bullets(asked, lambda ts: 1 / 0).collect()} == {"failed"}
+
+
 def test_marts(spark, sf):
     report = {r["check"]: r["violations"] for r in pipeline.dq_concept_report(spark, sf).collect()}
     assert report["bill_concepts not one row per bill"] == 0 and report["concept from noise cluster"] == 0 and report["scoring column present"] == 0
