@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quorumlake.operators.chunking import JOINT, Span, embedding_input, legal_units, pack_units, split_long, tagged_items, units_of, whole_document_budget, word_count
+from quorumlake.operators import vectors
 from quorumlake.operators.vectors import DensityConfig, density_labels, nearest_neighbors
 from quorumlake.plans import marts, pipeline
 from quorumlake.sources import providers, readers, sinks
@@ -78,6 +79,28 @@ def test_density_finds_groups(method):
         DensityConfig(method="x")
 
 
+def test_density_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = np.vstack([c + rng.normal(size=(30, 16)) * 0.2 for c in rng.normal(size=(4, 16)) * 4] + [rng.normal(size=(10, 16)) * 4])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "id bigint, v array<double>")
+    few = DensityConfig(5, 5, "eom", max_rows=50)
+    labels, p = density_labels(x, few)
+    got = sorted(vectors.density_clusters(df, "id", "v", few).collect())
+    assert [r["cluster_id"] for r in got] == labels.tolist() and np.allclose([r["membership_probability"] for r in got], p)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    d = np.sqrt(np.maximum(0, 2 - 2 * u @ u.T))
+    core = np.partition(d, 5, axis=1)[:, 5]
+    d = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    best, total, out = d[0].copy(), 0.0, set(range(1, len(x)))
+    while out:
+        at = min(out, key=lambda i: best[i])
+        total += best[at]
+        out.remove(at)
+        best = np.minimum(best, d[at])
+    tree = vectors.spanning_tree(df.where("v is not null"), len(x), few, block_rows=16).collect()
+    assert len(tree) == len(x) - 1 and abs(sum(r["w"] for r in tree) - total) < 1e-9
+
+
 def test_tags_of_all_chunks(spark, tmp_path):
     texts = [(1, "head\n" + "\n".join(f"{i}. " + "w " * 200 for i in range(1, 4))), (2, "only a heading"), (3, None)]
     spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
