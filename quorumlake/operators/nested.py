@@ -26,6 +26,7 @@ SCHEMAS = {
     "document": "stage_no bigint, doc_no bigint, n_files bigint, file_text string, file_date string",
     "file": "stage_no bigint, doc_no bigint, file_no bigint, path string, format string, bytes bigint",
 }
+SCHEMAS |= {f"draft_{tag}": SCHEMAS[tag] for tag in ("document", "file")}
 
 _DOCUMENT_KEYS = {"FileText", "FileDate", "FilePath", "Extra"}
 _STAGE_KEYS = {"StageId", "StepTitle", "LegalDocuments", "Sessions"}
@@ -100,7 +101,8 @@ def _text(value) -> str | None:
 
 
 def visit(record_id: int, payload: str | None) -> Iterator[tuple]:
-    """Depth-first emission of one record: record, stages, documents, files."""
+    """Depth-first emission of one record: record, stages, documents, files; those of
+    DraftLaws under tags of their own."""
     root = parse_payload(payload)
     if isinstance(root, list):
         root = next((x for x in root if isinstance(x, dict)), None)
@@ -116,6 +118,7 @@ def visit(record_id: int, payload: str | None) -> Iterator[tuple]:
     if not docs:
         return
     yield from _documents(record_id, pk, -1, docs.get("LegalDocuments"))
+    yield from _documents(record_id, pk, -1, docs.get("DraftLaws"), "draft_")
     for no, stage in enumerate(_held(docs.get("Stages"), _STAGE_KEYS)):
         stage = _object(stage, _STAGE_KEYS)
         if not stage:
@@ -125,12 +128,12 @@ def visit(record_id: int, payload: str | None) -> Iterator[tuple]:
         yield from _documents(record_id, key, no, stage.get("LegalDocuments"))
 
 
-def _documents(record_id: int, parent: str, stage_no: int, held) -> Iterator[tuple]:
+def _documents(record_id: int, parent: str, stage_no: int, held, prefix: str = "") -> Iterator[tuple]:
     for no, doc in enumerate(_held(held, _DOCUMENT_KEYS)):
         doc = _object(doc, _DOCUMENT_KEYS)
         if not doc:
             continue
-        key = f"{parent}/d{no}"
+        key = f"{parent}/{prefix}d{no}"
         files = []
         for file_no, file in enumerate(_held(doc.get("FilePath"), _FILE_KEYS)):
             if isinstance(file, dict):
@@ -140,9 +143,9 @@ def _documents(record_id: int, parent: str, stage_no: int, held) -> Iterator[tup
             if isinstance(path, str) and path.strip():
                 size = size if isinstance(size, int) and not isinstance(size, bool) and abs(size) < 2**63 else None
                 files.append({"stage_no": stage_no, "doc_no": no, "file_no": file_no, "path": path, "format": _text(form), "bytes": size})
-        yield "document", record_id, key, parent, json.dumps({"stage_no": stage_no, "doc_no": no, "n_files": len(files), "file_text": _text(doc.get("FileText")), "file_date": _text(doc.get("FileDate"))}, ensure_ascii=False)
+        yield f"{prefix}document", record_id, key, parent, json.dumps({"stage_no": stage_no, "doc_no": no, "n_files": len(files), "file_text": _text(doc.get("FileText")), "file_date": _text(doc.get("FileDate"))}, ensure_ascii=False)
         for f in files:
-            yield "file", record_id, f"{key}/f{f['file_no']}", key, json.dumps(f, ensure_ascii=False)
+            yield f"{prefix}file", record_id, f"{key}/f{f['file_no']}", key, json.dumps(f, ensure_ascii=False)
 
 
 def emit_tagged(df: DataFrame, id_column: str, payload_column: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Chunks, vectors, marts, sources, sinks and resumable ingestion."""
 
+import json
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.operators.chunking import JOINT, Span, embedding_input, legal_units, pack_units, split_long, tagged_items, units_of, whole_document_budget, word_count
 from quorumlake.operators import vectors
+from quorumlake.operators.nested import flatten_nested
 from quorumlake.operators.vectors import DensityConfig, density_labels, nearest_neighbors
 from quorumlake.plans import marts, pipeline
 from quorumlake.sources import providers, readers, sinks
@@ -133,6 +136,17 @@ def test_document_selection(spark):
     assert got == {1: ("d", "selected", 4), 2: (None, "no_supported_document", 0), 3: (None, "no_supported_document", 0)}
 
 
+def test_drafts_are_selected(spark, tmp_path):
+    draft = {"FileText": "הצעת חוק לקריאה הראשונה", "FilePath": "http://x/a.pdf", "FileDate": "2020-01-01"}
+    law = {"FileText": "נוסח רשמי", "FilePath": "http://x/b.pdf"}
+    bodies = [(1, json.dumps({"sessionAndDocs": {"DraftLaws": [draft]}})), (2, json.dumps({"sessionAndDocs": {"DraftLaws": [draft], "LegalDocuments": [law]}}))]
+    spark.createDataFrame(bodies, "raw_id bigint, payload string").write.parquet(f"{tmp_path}/passed_bills_raw.parquet")
+    got = {r["bill_id"]: (r["source_field"], r["selected_stage"], r["candidate_count"]) for r in pipeline.doc_select(spark, str(tmp_path)).collect()}
+    assert got == {1: ("DraftLaws", "first_reading", 1), 2: ("LegalDocuments", "official_law", 2)}
+    t = flatten_nested(spark.createDataFrame(bodies, "raw_id bigint, payload string"), "raw_id", "payload")
+    assert [r["path"] for r in t["file"].collect()] == ["http://x/b.pdf"]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "coalition_membership.csv").write_text("party_id,knesset_num,start,end,kind,note\na,25,2022-12-29,,government,\n", encoding="utf-8")
     row = readers.read_lookup(spark, f"file://{tmp_path}", "coalition_membership").head()
