@@ -224,7 +224,8 @@ def propagate_minimum(links: DataFrame, rounds: int = 64) -> DataFrame:
     """(id, label): the smallest id of each connected component of ``links`` (a, b).
 
     Each round every id takes the smallest label among its neighbours and then its
-    label's label, and is written to the shared folder, until nothing changes.
+    label's label, and is written to the shared folder, until nothing changes; more
+    than ``rounds`` rounds are an error, never an unfinished result.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = materialize(both, "links")
@@ -238,8 +239,8 @@ def propagate_minimum(links: DataFrame, rounds: int = 64) -> DataFrame:
         changed = not step.where("label <> old").isEmpty()
         labels = step.select("id", "label")
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def similarity_clusters(df: DataFrame, id_column: str, vector_column: str, at_least: int = 4, grids: Grids = DEFAULT) -> DataFrame:

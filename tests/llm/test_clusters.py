@@ -56,3 +56,10 @@ def test_labels_travel_along_chains(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = {r["id"]: r["label"] for r in propagate_minimum(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_unfinished_labels_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError):
+        propagate_minimum(chain, rounds=2)
+    assert {r["label"] for r in propagate_minimum(chain).collect()} == {0}
