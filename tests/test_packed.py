@@ -24,6 +24,13 @@ CASES = [
     ("- א\n- ב", ["א", "ב"]),
     ("a, a", ["a", "a"]),
     ("לבד", ["לבד"]),
+    ("a (b (c) d, e), f", ["a (b (c) d, e)", "f"]),
+    ("a [b, (c), d], e", ["a [b, (c), d]", "e"]),
+    ("a (b, c; (d, e), f", ["a (b", "c", "(d, e)", "f"]),
+    ("a), b (c, d)", ["a)", "b (c, d)"]),
+    ("a (" + "x" * 500 + ", y), b", ["a (" + "x" * 500 + ", y)", "b"]),
+    ('"a, 1. b", c', ["a, 1. b", "c"]),
+    ("1000. a\n1001. b", ["a", "b"]),
     ('""', []),
     ("   ", []),
     ("", []),
