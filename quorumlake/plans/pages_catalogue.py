@@ -87,7 +87,7 @@ MODEL: dict[str, Callable[[Model], DataFrame]] = {
     "q16_mk_concepts": lambda m: P.mk_concepts(m, member(m)),
     "q17_mk_concept_votes": lambda m: P.mk_concept_votes(m, concept(m), member(m)),
     "q18_mk_votes": lambda m: P.mk_votes(m, member(m)),
-    "q19_mk_similar": lambda m: P.mk_similar(m, member(m), at_least=20),
+    "q19_mk_similar": lambda m: P.mk_similar(m, member(m)),
     "q20_mk_bills": lambda m: P.mk_bills(m, member(m)),
     "q21_mk_stints": lambda m: P.mk_stints(m, member(m)),
     "q22_coverage": P.coverage,
@@ -96,7 +96,7 @@ MODEL: dict[str, Callable[[Model], DataFrame]] = {
     "q25_concept_stages": lambda m: P.concept_stages(m, concept(m)),
     "q26_concept_bills": lambda m: P.concept_bills(m, concept(m)),
     "q27_concept_evidence": lambda m: P.concept_evidence(m, concept(m)),
-    "q28_concept_contested": lambda m: P.concept_contested(m, concept(m), at_least=3),
+    "q28_concept_contested": lambda m: P.concept_contested(m, concept(m)),
     "q29_concept_yearly": lambda m: P.concept_yearly(m, concept(m)),
     "q30_concept_party_terms": lambda m: P.concept_party_terms(m, concept(m)),
     "q31_concepts_summary": P.concepts_summary,
