@@ -10,12 +10,34 @@ from quorumlake.session import materialize, table
 
 CONTAINER_TOKENS = 2048
 
+# Keys of the Hebrew keyboard under the Latin ones, as they occur in the records
+# (fixed values; some layouts exchange the letters of s and d, which the edit
+# distance repairs).
+HEBREW = canonical.Script(
+    keys=("ertyuiopasdfghjklzxcvbnm,.;'/wq", "קראטוןםפשגדכעיחלךזסבהנמצתץף,.'/"),
+    fold=("ךםןףץ", "כמנפצ"),
+    doubled="ו",
+    particles="והלב",
+)
+#: Hebrew words around committee names (fixed values).
+COMMITTEES = canonical.ListProfile(
+    generic=("ועדת", "ועדה", "הוועדה", "ועד'", "הועד'", "ו'", "הוו'", "וו'", "ו", "תת", "לעניין", "לענייני", "לענין", "בעניין", "לנושא", "בנושא", "נושא", "עניין", "מס'", "מס", "מספר", "של", "הכנסת"),
+    marked=("המשותפת", "המיוחדת", "המשנה"),
+    asides=(r"[(\[](לשעבר|ישיבה מיוחדת|זמנית)[)\]]", r",\s*מושב\s+\S+$", r"\s[-–]\s*בראשות\s.*$", r"\s(של|ב)\s*ה?כנסת$"),
+)
+#: Hebrew words around faction names (fixed values).
+FACTIONS = canonical.ListProfile(
+    generic=("סיעת", "סיעה", "הסיעה", "ס'", "מפלגת", "מפלגה", "תנועת", "תנועה", "התנועה", "רשימת", "רשימה", "הרשימה"),
+    asides=(r"[(\[](סיעה|בפיצול|לשעבר)[)\]]", r",\s*(אופוזיציה|קואליציה)$", r"\s[-–]\s*רשימה$", r"\sב?כנסת$"),
+)
+
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Freely typed faction and committee names with the entry each means."""
     return canonical.map_records(
-        canonical.Field("faction_name", table(spark, sf, "bridge_member_factions"), "member_id", "faction_name", table(spark, sf, "faction_lineage"), "faction_name", canonical.FACTIONS),
-        canonical.Field("committee_name", table(spark, sf, "dim_bills"), "bill_id", "committee_name", table(spark, sf, "committee_topics"), "committee_name", canonical.COMMITTEES),
+        canonical.Field("faction_name", table(spark, sf, "bridge_member_factions"), "member_id", "faction_name", table(spark, sf, "faction_lineage"), "faction_name", FACTIONS),
+        canonical.Field("committee_name", table(spark, sf, "dim_bills"), "bill_id", "committee_name", table(spark, sf, "committee_topics"), "committee_name", COMMITTEES),
+        script=HEBREW,
     )
 
 

@@ -1,6 +1,7 @@
 import pytest
 
-from quorumlake.llm.canonical import COMMITTEES, FACTIONS, Field, map_records, map_to_list
+from quorumlake.llm.canonical import Field, ListProfile, map_records, map_to_list
+from quorumlake.llm.queries import COMMITTEES, FACTIONS, HEBREW
 
 COMMITTEE_LIST = [
     "ועדת החופים והדיג", "ועדת האנרגיה והרוח", "ועדת הכפרים והעיירות", "ועדת המים העיליים", "ועדת המחקר הימי", "ועדת הוועד האתי", "ועדת השווקים והמידות",
@@ -34,7 +35,7 @@ FACTION_CASES = {
 def test_cases(spark, entries, cases, profile):
     values = spark.createDataFrame([(v,) for v in [*cases, *cases, None, " "]], "score string")
     listed = spark.createDataFrame([(e,) for e in [*entries, entries[0], None]], "n string")
-    got = {r["raw_value"]: r["canonical_value"] for r in map_to_list(values, "score", listed, "n", profile).collect()}
+    got = {r["raw_value"]: r["canonical_value"] for r in map_to_list(values, "score", listed, "n", profile, HEBREW).collect()}
     wrong = {k: (got.get(k), v) for k, v in cases.items() if got.get(k) != v}
     assert not wrong and len(got) == len(cases)
 
@@ -42,7 +43,7 @@ def test_cases(spark, entries, cases, profile):
 def test_records_and_empty_sides(spark):
     rows = spark.createDataFrame([(1, "עוגן"), (1, "עוגן "), (1, "עוגן "), (2, None), (3, ""), (None, "עוגן."), (4, "x" * 5000)], "id int, v string")
     ref = spark.createDataFrame([("עוגן",)], "v string")
-    run = lambda r, e: map_records(Field("f", r, "id", "v", e, "v", FACTIONS))
+    run = lambda r, e: map_records(Field("f", r, "id", "v", e, "v", FACTIONS), script=HEBREW)
     assert {tuple(r) for r in run(rows, ref).collect()} == {("f", 1, "עוגן ", "עוגן"), ("f", 4, "x" * 5000, "")}
     assert run(rows.limit(0), ref).count() == 0
     assert {r["canonical_value"] for r in run(rows, ref.limit(0)).collect()} == {""}
@@ -50,5 +51,19 @@ def test_records_and_empty_sides(spark):
 
 def test_fields_keep_apart(spark):
     a = spark.createDataFrame([(1, "עוגן."), (2, "ועדת החופים")], "id int, v string")
-    got = {tuple(r) for r in map_records(Field("x", a, "id", "v", spark.createDataFrame([("עוגן",)], "v string"), "v", FACTIONS), Field("y", a, "id", "v", spark.createDataFrame([(COAST,)], "v string"), "v", COMMITTEES)).collect()}
+    got = {tuple(r) for r in map_records(Field("x", a, "id", "v", spark.createDataFrame([("עוגן",)], "v string"), "v", FACTIONS), Field("y", a, "id", "v", spark.createDataFrame([(COAST,)], "v string"), "v", COMMITTEES), script=HEBREW).collect()}
     assert got == {("x", 1, "עוגן.", "עוגן"), ("x", 2, "ועדת החופים", ""), ("y", 1, "עוגן.", ""), ("y", 2, "ועדת החופים", COAST)}
+
+
+def test_no_entry_by_a_letter_or_two(spark):
+    values = spark.createDataFrame([("ע",), ("מפ",), ("ח",)], "v string")
+    got = map_to_list(values, "v", spark.createDataFrame([(e,) for e in FACTION_LIST], "n string"), "n", FACTIONS, HEBREW).collect()
+    assert {r["canonical_value"] for r in got} == {""}
+
+
+def test_latin_list_stays_latin(spark):
+    """Without a script nothing is taken for another keyboard."""
+    cases = {"Tel Avvi": "Tel Aviv", "tel aviv": "Tel Aviv", "Haifa": "Haifa", "New Yrok": "New York", "York": "New York", "Paris": ""}
+    listed = spark.createDataFrame([("Tel Aviv",), ("Haifa",), ("New York",)], "n string")
+    got = {r["raw_value"]: r["canonical_value"] for r in map_to_list(spark.createDataFrame([(v,) for v in cases], "v string"), "v", listed, "n", ListProfile()).collect()}
+    assert got == cases
