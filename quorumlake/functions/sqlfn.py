@@ -27,8 +27,8 @@ def count_if(condition: Column) -> Column:
 
 
 def any_non_null(x: Column) -> Column:
-    """The smallest non-null value: a repeatable choice of any value."""
-    return F.min(x)
+    """Some non-null value; which one is open where there are several."""
+    return F.any_value(x, F.lit(True))
 
 
 def arg_max(x: Column, *by: Column) -> Column:

@@ -32,10 +32,13 @@ def title_tidy(text: Column) -> Column:
 
 
 def url_canonical(url: Column) -> Column:
-    """Backslashes become slashes and repeated slashes of the path become one."""
-    x = F.translate(url, "\\", "/")
-    x = F.regexp_replace(x, r"^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1://")
-    return F.regexp_replace(x, r"(?<!:)(?<!:/)/{2,}(?=[^?#]*)", "/")
+    """Backslashes become slashes, outer blanks go, and repeated slashes of the path
+    become one; scheme, authority, query and fragment stay as they are."""
+    x = F.translate(F.regexp_replace(url, r"(?U)^\s+|\s+$", ""), "\\", "/")
+    front = F.regexp_extract(x, r"^((?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?)", 1)
+    rest = F.substring(x, F.length(front) + 1, F.length(x))
+    path = F.regexp_extract(rest, r"^([^?#]*)", 1)
+    return F.concat(front, F.regexp_replace(path, "/{2,}", "/"), F.substring(rest, F.length(path) + 1, F.length(x)))
 
 
 def document_format(declared: Column, url: Column) -> Column:
@@ -51,7 +54,21 @@ def script_ratio(text: Column, script: str = r"[֐-׿]") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(script)) / F.nullif(total, F.lit(0)), F.lit(0.0))
 
 
-def content_key(*cols: Column) -> Column:
-    """Stable key of a content: sha-256 over its parts, each with its length."""
-    parts = [F.concat(F.coalesce(F.length(c).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(c, F.lit(""))) for c in cols]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+def content_key(**parts: Column) -> Column:
+    """Stable key of a content: sha-256 over its canonical JSON (names sorted, nulls
+    written, no blanks)."""
+    held = F.struct(*[c.alias(name) for name, c in sorted(parts.items())])
+    return F.sha2(F.to_json(held, {"ignoreNullFields": "false"}), 256)
+
+
+#: Phrases that tell the reading of a motion, in the order in which they are tried
+#: (fixed values): sending a bill to committee for its next readings is the first.
+READINGS = (("להכנה לקריאה", 1), ("טרומית", 0), ("קריאה שלישית", 3), ("קריאה שנייה", 2), ("קריאה שניה", 2), ("קריאה ראשונה", 1))
+
+
+def reading_of(motion: Column) -> Column:
+    """Reading that a motion's text tells of; null where it tells of none."""
+    out = F.lit(None).cast("int")
+    for phrase, reading in reversed(READINGS):
+        out = F.when(F.contains(motion, F.lit(phrase)), reading).otherwise(out)
+    return out

@@ -31,19 +31,16 @@ SCHEMAS |= {f"draft_{tag}": SCHEMAS[tag] for tag in ("document", "file")}
 _DOCUMENT_KEYS = {"FileText", "FileDate", "FilePath", "Extra"}
 _STAGE_KEYS = {"StageId", "StepTitle", "LegalDocuments", "Sessions"}
 _FILE_KEYS = {"Path", "Format", "Bytes", "Signatures"}
-_DEPTH = 12
-
 
 def parse_payload(text: str | None):
     """The JSON value in a payload, without stray characters or wrapping around it.
 
     A byte order mark, blanks, control characters or words before and after the
     value, a value that is held as text inside the value, and a list of one
-    around the object are passed over. Null and damaged payloads give None.
+    around the object are passed over, however often it is wrapped. Null and damaged
+    payloads, and those nested beyond what the parser can hold, give None.
     """
-    for _ in range(_DEPTH):
-        if text is None:
-            return None
+    while text is not None:  # each turn takes a pair of quotes off
         text = text.strip("﻿​‎‏\x00 \t\r\n")
         try:
             value = json.loads(text, strict=False)
@@ -65,7 +62,7 @@ def parse_payload(text: str | None):
 
 def _held(value, own: set[str]):
     """What a collection holds, whatever shape or wrapper it is kept in: a list."""
-    for _ in range(_DEPTH):
+    while True:  # each turn takes a wrapper off
         if isinstance(value, str):
             inner = value.strip("﻿​\x00 \t\r\n")
             if inner[:1] not in ("[", "{", '"'):
@@ -154,10 +151,15 @@ def emit_tagged(df: DataFrame, id_column: str, payload_column: str) -> DataFrame
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            out = [row for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for row in visit(rid, text)]
-            for at in range(0, len(out), 20_000):
-                cols = list(zip(*out[at : at + 20_000]))
+        def some():  # a few payloads at a time
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    ids, texts = (c.slice(at, 64).to_pylist() for c in batch.columns)
+                    yield [row for rid, text in zip(ids, texts) for row in visit(rid, text)]
+
+        for out in some():
+            if out:
+                cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())], names=["tag", "record_id", "pk", "parent_pk", "payload"])
 
     rows = df.select(F.col(id_column).cast("bigint").alias("record_id"), F.col(payload_column).alias("payload")).where("record_id is not null and payload is not null")

@@ -30,7 +30,7 @@ SHARED = {
     "half_open": "select count(*) as n from {orders} where o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1997-01-01'",
     "null_tests": "select count(*) as n, count(case when x is null then 1 end) as n_null from (select nullif(p_size, 5) as x from {part}) t",
     "is_distinct_from": "select p_partkey, nullif(p_size, 5) is distinct from 7 as differs from {part}",
-    "like_contains": "select p_partkey from {part} where p_name like '%a%' and p_type like '%'",
+    "like_contains": "select p_partkey from {part} where p_name like '%a%' and p_name not like 'b%'",
     "ilike_contains": "select n_nationkey, n_name from {nation} where n_name ilike '%N_1%'",
     "case_first_match": "select l_returnflag, cast(sum(case when l_quantity < 10 then 1 when l_quantity < 30 then 2 else 3 end) as bigint) as score from (select l_returnflag, l_quantity from {lineitem}) t group by l_returnflag",
     "case_on_value": "select o_orderkey, case o_orderstatus when 'F' then 'final' when 'O' then 'open' else 'other' end as state from {orders}",
@@ -56,12 +56,11 @@ SHARED = {
     "agg_bool_and": "select c_nationkey, bool_and(c_acctbal > -900) as all_above from {customer} group by c_nationkey",
     "agg_median": "select p_brand, round(median(p_retailprice), 6) as m from {part} group by p_brand",
     "agg_grouping_sets": "select o_orderstatus, o_orderpriority, count(*) as n from {orders} group by grouping sets ((o_orderstatus), (o_orderpriority))",
-    "agg_having_alias": "select o_custkey, count(*) as n from {orders} group by o_custkey having count(*) >= 15",
+    "agg_having_alias": "select o_custkey, count(*) as n from {orders} group by o_custkey having n >= 15",
     "agg_two_level": "select cast(n as bigint) as n_orders, count(*) as n_customers from (select o_custkey, count(*) as n from {orders} group by o_custkey) t group by n",
     "agg_distinct": "select distinct o_orderstatus, o_orderpriority from {orders}",
     "agg_global": "select count(*) as n, min(o_orderdate) as first, max(o_orderdate) as last, round(avg(o_totalprice), 4) as mean from {orders}",
     "win_topn_group": "select c_nationkey, c_custkey, rn from (select c_nationkey, c_custkey, cast(row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as bigint) as rn from {customer}) t where rn <= 5",
-    "win_lag_gap": "select user_id, max(gap_s) as longest from (select user_id, cast(date_diff_s as bigint) as gap_s from (select user_id, event_id - lag(event_id) over (partition by user_id order by ts, event_id) as date_diff_s from {events}) a) t group by user_id",
     "win_total_count": "select c_custkey, count(*) over () as total from {customer} where c_acctbal > 9900",
     "win_dedup_first": "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as rn from {events}) t where rn = 1",
     "win_dedup_last": "select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from {events}) t where rn = 1",
@@ -113,7 +112,8 @@ def agg_arg_max(spark, sf):
 
 
 def agg_any_value(spark, sf):
-    return table(spark, sf, "part").groupBy("p_brand").agg(any_non_null(F.nullif("p_size", F.lit(1))).alias("any_size"))
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer").select(C("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+    return o.groupBy("o_custkey").agg(any_non_null(F.when(C("o_orderkey") % 3 != 0, C("c_name"))).alias("name"))
 
 
 def agg_ratio_of_sums(spark, sf):
@@ -151,7 +151,7 @@ def paged_total(spark, sf):
 
 def sample_even(spark, sf):
     r = table(spark, sf, "knesset_terms").select("knesset_num")
-    return evenly_spaced(r, [C("knesset_num")], 10, 4)
+    return evenly_spaced(r, [C("knesset_num")], r.count(), 4)
 
 
 def split_unnest(spark, sf):
@@ -187,7 +187,7 @@ def title_tidy(spark, sf):
 
 
 def content_key(spark, sf):
-    b = table(spark, sf, "dim_bills").select("bill_id", F.substring(T.content_key(C("name"), C("status")), 1, 24).alias("key")).distinct()
+    b = table(spark, sf, "dim_bills").select("bill_id", F.substring(T.content_key(name=C("name"), status=C("status")), 1, 24).alias("key")).distinct()
     return b
 
 
@@ -215,18 +215,46 @@ def value_counts(spark, sf):
     return table(spark, sf, "fact_votes").groupBy("detail_state").count().withColumnRenamed("count", "n")
 
 
+def starts_with(spark, sf):
+    return table(spark, sf, "fact_votes").where(C("item_title").isNotNull()).groupBy(C("item_title").startswith("הצעת חוק").alias("is_bill")).agg(F.countDistinct("vote_id").alias("n"))
+
+
+def win_lag_gap(spark, sf):
+    """Longest gap in days between days on which a user did something."""
+    d = table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day")).distinct()
+    before = F.lag("day").over(Window.partitionBy("user_id").orderBy("day"))
+    return d.withColumn("gap", F.datediff("day", before)).groupBy("user_id").agg(F.max("gap").alias("longest"))
+
+
+def reading_rule(spark, sf):
+    """The reading that each motion tells of, beside the one that was recorded."""
+    v = table(spark, sf, "fact_votes").select("decision", C("reading").alias("recorded"), T.reading_of(C("decision")).alias("reading"))
+    return v.groupBy("decision", "recorded", "reading").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lookup_term_name(spark, sf):
+    """Member of each ballot's name: by term and order-insensitive name, else by name."""
+    known = table(spark, sf, "bridge_member_factions").where("member_id is not null").select("member_id", "knesset_num", T.name_key(C("member_name")).alias("key")).where("key <> ''")
+    in_term = known.groupBy("knesset_num", "key").agg(F.min("member_id").alias("in_term"))
+    anywhere = known.groupBy("key").agg(F.min("member_id").alias("anywhere"))
+    terms = table(spark, sf, "fact_votes").groupBy("vote_id").agg(F.min("knesset_num").alias("knesset_num"))
+    names = table(spark, sf, "fact_ballots").select("vote_id", "member_name_source").join(terms, "vote_id").select("knesset_num", "member_name_source").distinct().withColumn("key", T.name_key(C("member_name_source")))
+    found = names.join(in_term, ["knesset_num", "key"], "left").join(anywhere, "key", "left")
+    return found.select("knesset_num", "member_name_source", F.coalesce("in_term", "anywhere").alias("member_id"), F.when(C("in_term").isNotNull(), "term").when(C("anywhere").isNotNull(), "any").otherwise("none").alias("by"))
+
+
 def coverage_pivot(spark, sf):
     d = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), count_if(C("text").isNotNull()).alias("n_text"))
-    return d.withColumn("pct", F.round(safe_div(C("n_text") * 100, C("n")), 1))
+    return d.withColumn("pct", F.bround(safe_div(C("n_text") * 100, C("n")), 1))
 
 
 def pie_slices(spark, sf):
     """Slices from three per cent, at most ten; the rest is one slice."""
-    s = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    s = table(spark, sf, "dim_bills").groupBy(F.coalesce("committee_name", F.lit("")).alias("committee")).agg(F.count(F.lit(1)).alias("n"))
     total = s.agg(F.sum("n").alias("all"))
-    own = s.crossJoin(F.broadcast(total)).where(C("n") * 100 >= 3 * C("all")).orderBy(*nulls_last("-n", "l_suppkey")).limit(10).select("l_suppkey")
-    named = s.join(own.withColumn("own", F.lit(True)), "l_suppkey", "left")
-    return named.groupBy(F.when(C("own"), C("l_suppkey").cast("string")).otherwise("other").alias("slice")).agg(F.sum("n").alias("n"))
+    own = s.crossJoin(F.broadcast(total)).where(C("n") * 100 >= 3 * C("all")).orderBy(*nulls_last("-n", "committee")).limit(10).select("committee")
+    named = s.join(own.withColumn("own", F.lit(True)), "committee", "left")
+    return named.groupBy(F.when(C("own"), C("committee").cast("string")).otherwise("other").alias("slice")).agg(F.sum("n").alias("n"))
 
 
 def rising_fading(spark, sf):
@@ -242,17 +270,19 @@ def url_canonical(spark, sf):
     return urls.select("raw_id", "url", T.url_canonical(u).alias("canonical"), T.document_format(F.lit(None).cast("string"), C("url")).alias("format"))
 
 
-RECIPES = {f.__name__: f for f in (join_asof_left, join_array_member, list_contains, agg_arg_max, agg_any_value, agg_ratio_of_sums, agg_quantiles, agg_collect_sorted, agg_nested_json, win_topn_global, win_topn_labels, paged_total, sample_even, split_unnest, json_props, regex_script, script_ratio, name_key, title_tidy, content_key, fmt_ids, term_lookup, pivot_year_type, value_counts, coverage_pivot, pie_slices, rising_fading, url_canonical)}
+RECIPES = {f.__name__: f for f in (join_asof_left, join_array_member, list_contains, agg_arg_max, agg_any_value, agg_ratio_of_sums, agg_quantiles, agg_collect_sorted, agg_nested_json, win_topn_global, win_topn_labels, paged_total, sample_even, split_unnest, json_props, regex_script, script_ratio, name_key, title_tidy, content_key, fmt_ids, term_lookup, pivot_year_type, value_counts, coverage_pivot, pie_slices, rising_fading, url_canonical, win_lag_gap, reading_rule, lookup_term_name, starts_with)}
 
 QUERIES = {**{name: _shared(text) for name, text in SHARED.items()}, **RECIPES}
 
+_KEY = r"array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace({c}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda w: w <> '')), ' ')"
+
 ORACLE_SQL = {
     **{name: re.sub(r"{(\w+)}", r"\1", text) for name, text in SHARED.items()},
     "join_asof_left": "select e.event_id, c.click_id from (select * from events where event_type = 'purchase') e asof left join (select user_id, ts since, event_id click_id from events where event_type = 'click') c on e.user_id = c.user_id and e.ts >= c.since",
     "join_array_member": "select distinct b.bullet_row_id, t.bill_id, t.concept_id, b.bullet from (select distinct bill_id, concept_id, unnest(bullet_ids) id from bridge_bill_concepts) t join cluster_result b on b.bullet_row_id = t.id",
     "list_contains": "select source_endpoint, sum(list_contains(source_fields, source_fields[1])::int)::bigint n_has, count(*) n from bridge_vote_bills group by 1",
     "agg_arg_max": "select o_custkey, max_by(o_orderkey, (o_totalprice, o_orderkey)) largest from orders group by 1",
-    "agg_any_value": "select p_brand, min(nullif(p_size, 1)) any_size from part group by 1",
+    "agg_any_value": "select o_custkey, any_value(if(o_orderkey % 3 = 0, null, c_name)) name from orders join customer on c_custkey = o_custkey group by 1",
     "agg_ratio_of_sums": "select l_returnflag, round(sum(l_quantity) filter (where l_linestatus = 'F') / sum(l_quantity), 6) ratio from lineitem group by 1",
     "agg_quantiles": "select p_brand, round(quantile_cont(p_retailprice, 0.25), 6) q25, round(quantile_cont(p_retailprice, 0.5), 6) q50, round(quantile_cont(p_retailprice, 0.75), 6) q75 from part group by 1",
     "agg_collect_sorted": "select n_regionkey, string_agg(n_name, ',' order by n_name) \"names\" from (select distinct n_regionkey, n_name from nation) group by 1",
@@ -270,8 +300,13 @@ ORACLE_SQL = {
     "term_lookup": "select d.day::varchar \"day\", knesset_num from (select distinct \"start\" \"day\" from coalition_membership where \"start\" is not null) d left join knesset_terms t on d.day >= term_start and (term_end is null or d.day < term_end)",
     "pivot_year_type": "select year(o_orderdate)::int \"year\", count(*) filter (where o_orderstatus = 'F') n_f, count(*) filter (where o_orderstatus = 'O') n_o, count(*) filter (where o_orderstatus = 'P') n_p from orders group by 1",
     "value_counts": "select detail_state, count(*) n from fact_votes group by 1",
-    "coverage_pivot": "select source, count(*) n, count(text) n_text, round(count(text) * 100.0::double / count(*), 1) pct from documents group by 1",
-    "pie_slices": "with s as (select l_suppkey, count(*) n from lineitem group by 1), own as (select l_suppkey from s where n * 100 >= 3 * (select sum(n) from s) order by n desc, l_suppkey limit 10) select coalesce(own.l_suppkey::varchar, 'other') slice, sum(n)::bigint n from s left join own using (l_suppkey) group by 1",
+    "win_lag_gap": "select user_id, max(gap)::int longest from (select user_id, day - lag(day) over (partition by user_id order by day) gap from (select distinct user_id, ts::date \"day\" from events)) group by 1",
+    "starts_with": "select starts_with(item_title, 'הצעת חוק') is_bill, count(distinct vote_id) n from fact_votes where item_title is not null group by 1",
+    "reading_rule": "select decision, reading recorded, case when contains(decision, 'להכנה לקריאה') then 1 when contains(decision, 'טרומית') then 0 when contains(decision, 'קריאה שלישית') then 3 when regexp_matches(decision, 'קריאה שני?יה') then 2 when contains(decision, 'קריאה ראשונה') then 1 end reading, count(*) n from fact_votes group by all",
+    "lookup_term_name": f"with known as (select member_id, knesset_num, {_KEY.format(c='member_name')} key from bridge_member_factions where member_id is not null), n as (select distinct knesset_num, member_name_source, {_KEY.format(c='member_name_source')} key from fact_ballots join (select vote_id, min(knesset_num) knesset_num from fact_votes group by 1) using (vote_id)) select knesset_num, member_name_source, coalesce(a, b) member_id, case when a is not null then 'term' when b is not null then 'any' else 'none' end \"by\" from n left join (select knesset_num, key, min(member_id) a from known where key <> '' group by all) using (knesset_num, key) left join (select key, min(member_id) b from known where key <> '' group by all) using (key)",
+    "content_key": "select distinct bill_id, left(sha256(to_json(struct_pack(name := name, status := status))), 24) key from dim_bills",
+    "coverage_pivot": "select source, count(*) n, count(text) n_text, round_even(count(text) * 100.0::double / count(*), 1) pct from documents group by 1",
+    "pie_slices": "with s as (select coalesce(committee_name, '') committee, count(*) n from dim_bills group by 1), own as (select committee from s where n * 100 >= 3 * (select sum(n) from s) order by n desc, committee limit 10) select coalesce(own.committee, 'other') slice, sum(n)::bigint n from s left join own using (committee) group by 1",
     "rising_fading": "with d as (select o_orderpriority, count(*) filter (where year(o_orderdate) = 1999) - count(*) filter (where year(o_orderdate) = 1998) delta from orders group by 1) (select *, 'rising' side from d where delta > 0 order by delta desc, 1 limit 5) union all (select *, 'fading' from d where delta < 0 order by delta, 1 limit 5)",
     "fmt_ids": "select o_custkey || ':' || lpad((row_number() over (partition by o_custkey order by o_orderkey) - 1)::varchar, 4, '0') id, o_custkey::varchar parent from orders",
 }

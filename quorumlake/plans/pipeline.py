@@ -149,17 +149,15 @@ def dq_concept_report(spark, sf) -> DataFrame:
 def doc_select(spark, sf) -> DataFrame:
     """The document chosen for each raw record, among those of the record itself."""
     t = flatten_nested(table(spark, sf, "passed_bills_raw"), "raw_id", "payload")
-    # labels of the records, as the ranks spell them (fixed values)
-    law = F.when(C("file_text") == "נוסח רשמי", "חוק - פרסום ברשומות").when(C("file_text") == "נוסח לא רשמי", "חוק - נוסח לא רשמי").otherwise(C("file_text"))
 
-    def of(prefix: str, source: str, label) -> DataFrame:
+    def of(prefix: str, source: str) -> DataFrame:
         files = t[f"{prefix}file"].where("stage_no = -1").join(t[f"{prefix}document"].select(C("pk").alias("parent_pk"), "file_text", "file_date"), "parent_pk")
         return files.select(
-            C("record_id").alias("bill_id"), C("pk").alias("bill_document_id"), F.lit(source).alias("source_field"), label.alias("document_label"), C("path").alias("document_url"), C("format").alias("document_format"),
+            C("record_id").alias("bill_id"), C("pk").alias("bill_document_id"), F.lit(source).alias("source_field"), C("file_text").alias("document_label"), C("path").alias("document_url"), C("format").alias("document_format"),
             F.left("file_date", F.lit(10)).alias("document_date"), (C("doc_no") * 1000 + C("file_no")).alias("document_ordinal"),
         )
 
-    docs = of("", "LegalDocuments", law).unionByName(of("draft_", "DraftLaws", C("file_text")))
+    docs = of("", "LegalDocuments").unionByName(of("draft_", "DraftLaws"))
     return marts.select_documents(t["record"].select(C("record_id").alias("bill_id")).distinct(), docs)
 
 

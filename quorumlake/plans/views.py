@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorumlake.functions.dates import to_day
 from quorumlake.functions.sqlfn import nulls_last
 from quorumlake.plans import pages as P
 from quorumlake.plans import pages_catalogue as Q
@@ -54,16 +55,14 @@ def concept_uncounted(m: Model, concept_id: str) -> DataFrame:
 
 def position_titles(m: Model, member: int, n: int = 8) -> DataFrame:
     """Distinct titles of a member, with the ministry where there is one, newest first."""
-    p = P.mk_positions(m, member)
+    p = m.raw("dim_governments").where(C("member_id") == member)
     title = F.concat_ws(" - ", "position_name", F.nullif(F.trim("ministry_name"), F.lit("")))
-    t = p.groupBy(title.alias("title")).agg(F.max("start_date").alias("latest"))
+    t = p.groupBy(title.alias("title")).agg(F.max(to_day(C("start_date"))).alias("latest"))
     return t.orderBy(*nulls_last("-latest", "title")).limit(n)
 
 
 def served_in_term(m: Model, member: int) -> DataFrame:
     """Terms of a member, and whether a government position overlaps each."""
-    from quorumlake.functions.dates import to_day
-
     g = m.raw("dim_governments").where(C("member_id") == member).select(to_day(C("start_date")).alias("s"), to_day(C("finish_date")).alias("e")).where("s is not null").distinct()
     t = m.mk_service.where(C("member_id") == member).select("knesset_num", "first_date", "last_date")
     met = t.join(g, (C("s") <= C("last_date")) & (C("e").isNull() | (C("e") >= C("first_date"))), "left_semi").select("knesset_num", F.lit(True).alias("x"))

@@ -40,8 +40,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as
-    in local tests, a temporary folder is made and set.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session may leave
+    it unset: then a temporary folder is made and set. On a cluster that is an error,
+    as every executor would write to a disk of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -50,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quorumlake-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

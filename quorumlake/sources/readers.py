@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,15 +70,12 @@ def is_word_archive(content: Column) -> Column:
     return F.hex(content).contains("word/document.xml".encode().hex().upper())
 
 
-def manifest(paths: list[str]) -> str:
-    """Version of a set of input files: 16 hexadecimal digits over their contents."""
-    whole = hashlib.sha256()
-    for path in sorted(paths):
-        whole.update(os.path.basename(path).encode())
-        with open(path, "rb") as f:
-            for block in iter(lambda: f.read(1 << 20), b""):
-                whole.update(block)
-    return whole.hexdigest()[:16]
+def manifest(spark: SparkSession, paths: list[str], *texts: str) -> str:
+    """Version of a set of input files and of the texts (SQL, say) that work on them: 16
+    hexadecimal digits over names and contents. Files are hashed where they lie."""
+    files = spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("hash"))
+    held = files.agg(F.to_json(F.array_sort(F.collect_list(F.struct("name", "hash")))).alias("x")).head()[0]
+    return hashlib.sha256("\x1f".join([held, *texts]).encode()).hexdigest()[:16]
 
 
 def hyperlink_of(formula: Column) -> Column:

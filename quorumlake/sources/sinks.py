@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,30 +20,65 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _read_text(spark: SparkSession, path: str) -> str:
+    p, fs = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file and put it in place by one renaming, which replaces what is
+    there: readers find the old text or the new one."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    target, fs = _fs(spark, path)
+    part, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(part, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    how = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = gateway.new_array(how, 1)
+    options[0] = how.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(part, target, options)
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    return f"{path}/{_read_text(spark, f'{path}/_CURRENT')}" if exists(spark, f"{path}/_CURRENT") else None
+
+
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """A finished table, or None: a folder without its success mark is none."""
-    return spark.read.parquet(path) if exists(spark, f"{path}/_SUCCESS") else None
+    """The current version of a table, or None if none was ever finished."""
+    held = _current(spark, path)
+    return spark.read.parquet(held) if held else None
 
 
 def write_atomic(df: DataFrame, path: str) -> None:
-    """Write beside the target and rename: readers see the old table or the new one."""
+    """Write a new version beside the others and switch to it by one renaming: readers
+    and crashes at any time find the old version or the new one. The version before the
+    last stays for readers that have begun; older ones go."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.part")
-    target, fs = _fs(spark, path)
-    part, _ = _fs(spark, f"{path}.part")
-    fs.delete(target, True)
-    if not fs.rename(part, target):
-        raise OSError(f"cannot rename to {path}")
+    before = _current(spark, path)
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    _write_text(spark, f"{path}/_CURRENT", name)
+    folder, fs = _fs(spark, path)
+    keep = {name, before.rsplit("/", 1)[1] if before else name}
+    for status in fs.listStatus(folder):
+        if status.getPath().getName().startswith("v-") and status.getPath().getName() not in keep:
+            fs.delete(status.getPath(), True)
 
 
 def build_once(spark: SparkSession, path: str, version: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table at ``path`` if it was built for ``version``, else build and write it."""
-    mark = f"{path}.version"
-    if exists(spark, mark) and spark.read.text(mark).head()[0] == version and (held := read_or_none(spark, path)) is not None:
+    mark = f"{path}/_VERSION"
+    if exists(spark, mark) and _read_text(spark, mark) == version and (held := read_or_none(spark, path)) is not None:
         return held
     write_atomic(build(), path)
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(mark)
-    return spark.read.parquet(path)
+    _write_text(spark, mark, version)
+    return read_or_none(spark, path)
 
 
 def merge_by_key(old: DataFrame | None, new: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -70,7 +106,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_manifest(path: str, run: dict) -> None:
-    """A run's parameters and counts as JSON, keys sorted."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(run, f, ensure_ascii=False, sort_keys=True, indent=2, default=str)
+def write_manifest(spark: SparkSession, path: str, run: dict) -> None:
+    """A run's parameters and counts as JSON, keys sorted, wherever tables may live."""
+    _write_text(spark, path, json.dumps(run, ensure_ascii=False, sort_keys=True, indent=2, default=str))

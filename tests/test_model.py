@@ -40,6 +40,29 @@ def test_sql_functions(spark):
     assert sqlfn.page_count(0) == 1 and sqlfn.page_count(50) == 1 and sqlfn.page_count(51) == 2
 
 
+def test_url_and_reading(spark):
+    urls = {
+        "https://a//b///c?u=http://x//y&z=p//q": "https://a/b/c?u=http://x//y&z=p//q", "//host//x": "//host/x", "https:\\\\fs.example\\23//law//a.docx": "https://fs.example/23/law/a.docx",
+        " http://h//p#a//b ": "http://h/p#a//b", "a//b": "a/b", "": "", "https://h": "https://h",
+    }
+    df = spark.createDataFrame(list(urls.items()), "u string, want string")
+    assert [r["u"] for r in df.where(text.url_canonical(F.col("u")) != F.col("want")).collect()] == []
+    motions = [("להעביר את הצעת החוק לוועדה להכנה לקריאה שניה ושלישית", 1), ("לקבל את הצעת החוק בקריאה שלישית", 3), ("לקבל בקריאה שנייה", 2), ("לדחות את ההצעה", None), (None, None)]
+    df = spark.createDataFrame(motions, "m string, want int")
+    assert df.where(~text.reading_of(F.col("m")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quorumlake.session import shared_dir
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    sc = SimpleNamespace(master="spark://h:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=sc))
+
+
 def test_first_delivery(spark):
     t = dt.datetime(2020, 1, 1)
     df = spark.createDataFrame([(1, None, t), (1, "x", t), (1, "y", t + dt.timedelta(1)), (2, None, t)], "k int, v string, loaded_at timestamp_ntz")

@@ -65,3 +65,16 @@ def test_tables_keep_links(spark):
 def test_deep_and_huge():
     assert files("[" * 5000 + "]" * 5000) == set()
     assert len(files(wrap([{"FilePath": [f"p{i}" for i in range(20000)]}]))) == 20000
+
+
+def test_any_depth_of_wrapping():
+    """A payload held as text in text, however deep, is read; so is a wrapped collection."""
+    doc = {"sessionAndDocs": {"LegalDocuments": [{"FilePath": "http://x/a.pdf"}]}}
+    text = json.dumps(doc)
+    for _ in range(14):
+        text = json.dumps(text)
+    assert [r[0] for r in visit(1, text)] == ["record", "document", "file"]
+    held = [{"FilePath": "http://x/a.pdf"}]
+    for n in range(20):
+        held = {f"w{n}": held}
+    assert [r[0] for r in visit(1, json.dumps({"sessionAndDocs": {"LegalDocuments": held}}))] == ["record", "document", "file"]

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quorumlake.operators.chunking import JOINT, Span, embedding_input, legal_units, pack_units, split_long, tagged_items, units_of, whole_document_budget, word_count
+from quorumlake.operators.chunking import JOINT, Span, embedding_input, legal_units, pack_units, split_long, spans_column, tagged_items, whole_document_budget, word_count
 from quorumlake.operators import vectors
 from quorumlake.operators.nested import flatten_nested
 from quorumlake.operators.vectors import DensityConfig, density_labels, nearest_neighbors
@@ -31,8 +31,10 @@ def test_packing_keeps_text_and_budget(texts, budget):
     assert [s.block_id for c in chunks for s in c] == sorted((s.block_id for c in chunks for s in c), key=lambda b: int(b[1:]))
 
 
-def test_whole_document_is_one_chunk():
-    units = units_of([{"kind": "heading", "heading_path": ["א", "ב"], "page_no": None}, {"kind": "text", "text": "1. x\n2. y", "page_no": 3, "block_id": "b1"}, {"kind": "text", "text": "z", "page_no": 4, "block_id": "b2"}])
+def test_whole_document_is_one_chunk(spark):
+    blocks = [("heading", None, ["א", "ב"], None, None), ("text", "1. x\n2. y", None, 3, "b1"), ("text", "z", None, 4, "b2")]
+    df = spark.createDataFrame([(blocks,)], "b array<struct<kind:string,text:string,heading_path:array<string>,page_no:int,block_id:string>>")
+    units = [Span(*u) for u in df.select(spans_column(F.col("b"))).head()[0]]
     assert [(u.text, u.heading_path, u.page_no) for u in units] == [("1. x", "א > ב", 3), ("2. y", "א > ב", 3), ("z", "א > ב", 3)]
     assert pack_units(units, 100) == [units]
     assert split_long("aa bb cc", 2, word_count) == ["aa bb", "cc"]
@@ -119,7 +121,7 @@ def test_tags_of_all_chunks(spark, tmp_path):
 
 def test_marts(spark, sf):
     report = {r["check"]: r["violations"] for r in pipeline.dq_concept_report(spark, sf).collect()}
-    assert report["bill_concepts not one row per bill"] == 0 and report["concept from noise cluster"] == 0 and report["scoring column present"] == 0
+    assert report["one concept row a bill"] == 0 and report["no concept of noise"] == 0 and report["links without rating"] == 0
     for r in pipeline.bill_concepts(spark, sf).collect():
         assert r["n_bullets"] >= r["n_noise_bullets"] and (r["noise_ratio"] is None) == (r["n_bullets"] == 0)
 
@@ -163,7 +165,7 @@ def test_sources(spark, tmp_path):
     assert items.select(readers.first_match(F.col("x"), lambda d: d["v"] > 1, "n")).head()[0] == "b"
     one = tmp_path / "m.txt"
     one.write_text("x")
-    assert len(readers.manifest([str(one)])) == 16
+    assert len(readers.manifest(spark, [str(one)])) == 16
 
 
 def test_sinks_and_resume(spark, tmp_path):
@@ -186,6 +188,12 @@ def test_sinks_and_resume(spark, tmp_path):
     spark.createDataFrame([(2, "late", 0), (3, "c", 1), (1, "new", 2)], schema).coalesce(1).write.parquet(f"file://{src}/2")
     assert {r["k"]: r["v"] for r in ingest_available(*args).collect()} == {1: "new", 2: "b", 3: "c"}
     assert ingest_available(*args).count() == 3
+    # a table is replaced by one switch: the version that a reader has begun stays
+    held = sinks.read_or_none(spark, path)
+    sinks.write_atomic(spark.range(5), path)
+    assert held.count() == 3 and sinks.read_or_none(spark, path).count() == 5
+    sinks.write_manifest(spark, f"{path}/run.json", {"b": 1, "a": "א"})
+    assert json.loads((tmp_path / "t" / "run.json").read_text()) == {"a": "א", "b": 1}
     lists = [spark.createDataFrame([(1, "x")], "id int, u string"), spark.createDataFrame([(1, "y"), (2, "z")], "id int, u string")]
     assert {(r["id"], r["u"]) for r in sinks.first_by_priority(lists, "id").collect()} == {(1, "x"), (2, "z")}
 
@@ -227,3 +235,10 @@ def test_dim_bullets_refuses_unresolved(spark):
     assert marts.dim_bullets(links, concepts, good).count() == 2
     with pytest.raises(ValueError):
         marts.dim_bullets(links, concepts, good.limit(1))
+
+
+def test_concept_lists_must_be_unique(spark):
+    twice = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k int, v string")
+    assert marts.at_most_one(twice, "k").count() == 2
+    with pytest.raises(Exception, match="more than one row"):
+        marts.at_most_one(twice.union(spark.createDataFrame([(2, "c")], "k int, v string")), "k").collect()
