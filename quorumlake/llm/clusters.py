@@ -1,16 +1,19 @@
-"""Similarity clusters by density on grids.
-
-Features are the coordinates of each record's direction on random axes. They are
-quantised into cells of several shifted grids; cells with a single record are not
-dense. Two dense cells are adjacent when they share records, and a record counts
-for a cell only if it points nearly the same way as the cell's leader, which is an
-exact check. Minimum labels are propagated over the joined cells until nothing
-changes; the centers of what was found are then joined in the same way on further
-grids, so that no stray record stays behind. A cluster is described by its size and the members of its densest cell.
-
-Large groups never meet in one place: each input partition first collapses the
-records of a fine cell onto one representative, so what is shuffled of a group is
-bounded by the partitions and cells it touches, and not by its size.
+"""Similarity clusters by density on grids of the sphere.
+
+Features are a record's direction in several rotated frames, quantised to the axis it
+lies nearest to, with its sign; three frames make a grid of (2 dims) ** 3 cells, and
+several triples of frames make several grids. Cells are counted in SQL, and only dense
+ones, with two records or more, go on. Two dense cells are adjacent when they share
+records, and a record counts for a cell only if it points nearly the same way as one of
+the cell's leaders, which is an exact check on the vectors as they are. Minimum labels
+travel over the joined cells until nothing changes; what they join is then counted and
+joined once more by its centers, on grids of its own, as a center lies nearer to a stray
+member than its neighbours do. A cluster is described by its size and the members of its
+densest cell.
+
+Large groups never meet in one place: each input partition first collapses records of
+one cell that point nearly the same way onto one representative, so what is shuffled of
+a group is bounded by the partitions and cells it touches, and not by its size.
 """
 
 from __future__ import annotations
@@ -27,21 +30,20 @@ from quorumlake.session import materialize
 class Grids:
     """Parameters of the grids.
 
-    ``dims``: length of a usable vector. ``near``: cosine from which two records
-    point nearly the same way. ``grids`` grids of ``axes`` axes with cells ``width``
-    wide: two records at cosine 0.96 share a cell of one grid with about 0.19, records
-    in general position with 4e-4. Components found on the first half of the grids
-    are joined on the second half by their centers, which lie much closer to a stray
-    record than its neighbours do: it shares a cell of a grid with a center with
-    about 0.3. ``fine_axes``: axes of the fine grid that collapses a partition.
+    ``near``: cosine from which two records point nearly the same way. A grid is a triple
+    of rotated frames: in 48 dimensions two records at cosine 0.92 share a cell of one grid
+    with about 0.16, at 0.97 with 0.39, and records in general position with 1e-6, so that
+    a cell seldom holds strangers, however many records there are. Records are joined on
+    ``grids`` grids of ``frames`` frames, centers on ``center_grids`` of ``center_frames``
+    others; ``probes`` grids serve to collapse a partition.
     """
 
-    dims: int = 48
     near: float = 0.86
-    grids: int = 32
-    axes: int = 12
-    width: float = 0.3
-    fine_axes: int = 24
+    frames: int = 24
+    grids: int = 16
+    center_frames: int = 48
+    center_grids: int = 32
+    probes: int = 6
     seed: int = 20240501
 
 
@@ -51,76 +53,106 @@ _CENTER = "id bigint, vec binary, cells array<bigint>"
 _LINK = "a bigint, b bigint"
 
 
-def _axes(g: Grids):
+def _frames(seed: int, frames: int, grids: int, dims: int):
+    """(axes of all frames side by side, a triple of frames for each grid), from the seed."""
+    from itertools import combinations
+
     import numpy as np
 
-    rng = np.random.default_rng(g.seed)
-    n = g.grids * g.axes + g.fine_axes
-    axes = rng.standard_normal((g.dims, n))
-    axes /= np.linalg.norm(axes, axis=0)
-    return axes, rng.uniform(0, g.width, n), rng.integers(1, 2**62, n) | 1
+    rng = np.random.default_rng(seed)
+    axes = np.hstack([np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(frames)])
+    triples = np.array(list(combinations(range(frames), 3)))
+    return axes.astype(np.float32), triples[rng.permutation(len(triples))[:grids]]
 
 
-def _usable(table, g: Grids):
+def _usable(table, dims: int):
     """(ids, unit vectors) of the usable rows of an Arrow batch of (id, vector)."""
     import numpy as np
     import pyarrow.compute as pc
 
     ids, vectors = table.column(0), table.column(1)
-    keep = pc.and_(pc.is_valid(ids), pc.fill_null(pc.equal(pc.list_value_length(vectors), g.dims), False))
+    keep = pc.and_(pc.is_valid(ids), pc.fill_null(pc.equal(pc.list_value_length(vectors), dims), False))
     ids, vectors = ids.filter(keep), vectors.filter(keep)
     if not len(ids):
-        return np.empty(0, np.int64), np.empty((0, g.dims))
-    flat = np.asarray(pc.list_flatten(vectors).cast("double").to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, g.dims)
+        return np.empty(0, np.int64), np.empty((0, dims), np.float32)
+    flat = np.asarray(pc.list_flatten(vectors).cast("double").to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dims)
     size = np.abs(flat).max(axis=1)
     with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
         unit = flat / size[:, None]
         unit /= np.linalg.norm(unit, axis=1)[:, None]
     good = np.isfinite(unit).all(axis=1) & np.isfinite(size) & (size > 0)
-    return ids.to_numpy(zero_copy_only=False)[good].astype(np.int64), unit[good]
+    return ids.to_numpy(zero_copy_only=False)[good].astype(np.int64), unit[good].astype(np.float32)
 
 
-def _cells(g: Grids, unit, axes, shift, salt):
-    """(keys of the grid cells, key of the fine cell) of unit vectors."""
+def _cells(unit, frames, triples):
+    """The cell of each grid for unit vectors, as exact numbers (grid and three axes)."""
     import numpy as np
 
-    bins = np.floor((unit @ axes + shift) / g.width).astype(np.int64)
-    mixed = (bins + 1024) * salt
-    mixed ^= mixed >> 29
-    mixed *= np.int64(0x5851F42D4C957F2D)
-    mixed ^= mixed >> 31
-    n_grid = g.grids * g.axes
-    cells = mixed[:, :n_grid].reshape(len(unit), g.grids, g.axes).sum(axis=2)
-    return cells * np.int64(31) + np.arange(g.grids), mixed[:, n_grid:].sum(axis=1)
+    n, dims = unit.shape
+    turned = (unit @ frames).reshape(n, -1, dims)
+    axis = np.abs(turned).argmax(axis=2)
+    sign = np.take_along_axis(turned, axis[:, :, None], axis=2)[:, :, 0] > 0
+    code = axis.astype(np.int64) * 2 + sign
+    side = 2 * dims
+    return ((np.arange(len(triples)) * side + code[:, triples[:, 0]]) * side + code[:, triples[:, 1]]) * side + code[:, triples[:, 2]]
+
+
+def _collapse(g: Grids, dims: int):
+    """Map side: quantise, and collapse records of the partition that share one of the
+    first cells and point nearly the same way. What is held is one vector for each
+    representative of a partition, so no more than the partition itself."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        frames, triples = _frames(g.seed, g.frames, g.grids, dims)
+        held: dict[int, list] = {}
+        for batch in batches:
+            ids, unit = _usable(batch, dims)
+            if not len(ids):
+                continue
+            cells = _cells(unit, frames, triples)
+            reps, kept = [], np.zeros(len(ids), bool)
+            for k, (i, probes) in enumerate(zip(ids.tolist(), cells[:, : g.probes].tolist())):
+                near = next(((r, v) for c in probes for r, v in held.get(c, ()) if float(v @ unit[k]) >= g.near), None)
+                if near is None:
+                    near, kept[k] = (i, unit[k].copy()), True
+                    for c in probes:
+                        held.setdefault(c, []).append(near)
+                reps.append(near[0])
+            own = [v.tobytes() if k else None for v, k in zip(unit, kept)]
+            grid = [c if k else None for c, k in zip(cells.tolist(), kept.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(reps, pa.int64()), pa.array(cells[:, 0], pa.int64()), pa.array(own, pa.binary()), pa.array(grid, pa.list_(pa.int64()))], names=["id", "rep", "fine", "vec", "cells"])
+
+    return run
 
 
-def _centers(g: Grids):
-    """Label by label, in sorted partitions: the center of its representatives and the
-    cells of the second half of the grids."""
+def _centers(g: Grids, dims: int):
+    """Label by label, in sorted partitions: the direction of the sum of its
+    representatives, and its cells of the further grids."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        axes, shift, salt = _axes(g)
+        frames, triples = _frames(g.seed + 1, g.center_frames, g.center_grids, dims)
         held, total = None, None
 
         def emit(labels, sums):
             unit = np.array(sums)
-            unit /= np.linalg.norm(unit, axis=1)[:, None]
-            cells = _cells(g, unit, axes, shift, salt)[0][:, g.grids // 2 :]
-            packed = np.round(unit * 127).astype(np.int8)
-            return pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.array([v.tobytes() for v in packed], pa.binary()), pa.array(cells.tolist(), pa.list_(pa.int64()))], names=["id", "vec", "cells"])
+            unit = (unit / np.linalg.norm(unit, axis=1)[:, None]).astype(np.float32)
+            cells = _cells(unit, frames, triples)
+            return pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.array([v.tobytes() for v in unit], pa.binary()), pa.array(cells.tolist(), pa.list_(pa.int64()))], names=["id", "vec", "cells"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             labels = batch.column(0).to_numpy(zero_copy_only=False)
-            vec = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int8).reshape(-1, g.dims).astype(np.float64)
+            vec = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.float32).reshape(-1, dims).astype(np.float64)
             begins = np.r_[0, np.nonzero(np.diff(labels))[0] + 1]
-            sums = np.add.reduceat(vec, begins, axis=0)
             done = ([], [])
-            for label, part in zip(labels[begins].tolist(), sums):
+            for label, part in zip(labels[begins].tolist(), np.add.reduceat(vec, begins, axis=0)):
                 if held == label:
                     total = total + part
                     continue
@@ -136,47 +168,9 @@ def _centers(g: Grids):
     return run
 
 
-def _collapse(g: Grids):
-    """Map side: quantise, collapse each fine cell of the partition, emit grid cells."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        axes, shift, salt = _axes(g)
-        held: dict[int, list] = {}
-        for batch in batches:
-            ids, unit = _usable(batch, g)
-            if not len(ids):
-                continue
-            cells, fine = _cells(g, unit, axes, shift, salt)
-            cells = cells[:, : g.grids // 2]
-            packed = np.round(unit * 127).astype(np.int8)
-            out = ([], [], [], [], [])
-            for k, (i, f) in enumerate(zip(ids.tolist(), fine.tolist())):
-                known = held.setdefault(f, [])
-                rep = next((r for r, v in known if float(v @ unit[k]) >= g.near), None)
-                out[0].append(i)
-                out[2].append(f)
-                if rep is None:
-                    known.append((i, unit[k].copy()))
-                    out[1].append(i)
-                    out[3].append(packed[k].tobytes())
-                    out[4].append(cells[k].tolist())
-                else:
-                    out[1].append(rep)
-                    out[3].append(None)
-                    out[4].append(None)
-            if len(held) > 100_000:  # a bound on memory; later records start new representatives
-                held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.int64()))], names=["id", "rep", "fine", "vec", "cells"])
-
-    return run
-
-
-def _lead(g: Grids):
-    """Cell by cell, in sorted partitions: each record is linked to the first leader
-    of its cell that it points along with, or leads itself."""
+def _lead(g: Grids, dims: int):
+    """Cell by cell, in sorted partitions: each record of a dense cell is linked to the
+    first leader of the cell that it points along with, or leads itself."""
 
     def run(batches):
         import numpy as np
@@ -188,14 +182,10 @@ def _lead(g: Grids):
                 continue
             cells = batch.column(0).to_numpy(zero_copy_only=False)
             ids = batch.column(1).to_numpy(zero_copy_only=False)
-            vec = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.int8).reshape(-1, g.dims).astype(np.float32)
-            vec /= np.linalg.norm(vec, axis=1)[:, None]
+            vec = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.float32).reshape(-1, dims)
             begins = np.r_[0, np.nonzero(np.diff(cells))[0] + 1, len(cells)]
-            # a cell with one record links nothing, unless it goes on in another batch
-            kept = np.diff(begins) > 1
-            kept[[0, -1]] = True
             a, b = [], []
-            for lo, hi in zip(begins[:-1][kept].tolist(), begins[1:][kept].tolist()):
+            for lo, hi in zip(begins[:-1].tolist(), begins[1:].tolist()):
                 if here != cells[lo]:
                     here, leaders, matrix = cells[lo], [], None
                 todo = np.arange(lo, hi)
@@ -220,17 +210,20 @@ def _lead(g: Grids):
     return run
 
 
-def propagate_minimum(links: DataFrame, rounds: int = 64) -> DataFrame:
+def propagate_minimum(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, label): the smallest id of each connected component of ``links`` (a, b).
 
     Each round every id takes the smallest label among its neighbours and then its
-    label's label, and is written to the shared folder, until nothing changes; more
-    than ``rounds`` rounds are an error, never an unfinished result.
+    label's label, and is written to the shared folder, until nothing changes. Labels only
+    fall, so that comes; more than ``rounds`` rounds, if given, are an error, never an
+    unfinished result.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = materialize(both, "links")
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
         seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(seen, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
@@ -243,27 +236,31 @@ def propagate_minimum(links: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
-def similarity_clusters(df: DataFrame, id_column: str, vector_column: str, at_least: int = 4, grids: Grids = DEFAULT) -> DataFrame:
+def similarity_clusters(df: DataFrame, id_column: str, vector_column: str, dims: int, at_least: int = 4, grids: Grids = DEFAULT) -> DataFrame:
     """(id, first_id, size, fine): the members of every cluster of ``at_least`` records
-    or more; ``first_id`` is the cluster's smallest id, ``fine`` the fine cell.
+    or more; ``first_id`` is the cluster's smallest id, ``fine`` its cell of the first grid.
 
-    Vectors that are null, all zero, of another length or with a NaN, null or
+    Vectors that are null, all zero, not of ``dims`` numbers or with a NaN, null or
     infinite number are unusable and take no part; length plays no part. A record
     that is repeated counts once. Other columns are ignored.
     """
     rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).alias("vector")).where("id is not null and vector is not null").dropDuplicates(["id"])
-    emitted = materialize(rows.mapInArrow(_collapse(grids), _EMIT), "cells")
+    emitted = materialize(rows.mapInArrow(_collapse(grids, dims), _EMIT), "cells")
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def joined(points: DataFrame) -> DataFrame:
-        """(id, label) of points (id, vec, cells) that share dense cells."""
-        cells = points.select(F.explode("cells").alias("cell"), "id", "vec").repartition(n, "cell").sortWithinPartitions("cell", "id")
-        return propagate_minimum(cells.mapInArrow(_lead(grids), _LINK).distinct())
+        """(id, label) of points (id, vec, cells) joined through the dense cells."""
+        cells = points.select(F.explode("cells").alias("cell"), "id")
+        dense = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("cell")
+        # vectors go along only from here on, for dense cells only
+        inside = cells.join(materialize(dense, "dense"), "cell", "left_semi").join(points.select("id", "vec"), "id")
+        inside = inside.repartition(n, "cell").sortWithinPartitions("cell", "id").select("cell", "id", "vec")
+        return propagate_minimum(inside.mapInArrow(_lead(grids, dims), _LINK).distinct())
 
     reps = emitted.where("vec is not null").select("id", "vec", "cells")
     first = joined(reps)
     labelled = reps.join(first, "id", "left").select(F.coalesce("label", "id").alias("label"), "vec")
-    centers = materialize(labelled.repartition(n, "label").sortWithinPartitions("label").mapInArrow(_centers(grids), _CENTER), "centers")
+    centers = materialize(labelled.repartition(n, "label").sortWithinPartitions("label").mapInArrow(_centers(grids, dims), _CENTER), "centers")
     second = joined(centers).select(F.col("id").alias("label"), F.col("label").alias("whole"))
     members = emitted.select("id", "rep", "fine").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("label"), "fine")
     members = members.join(second, "label", "left").select("id", F.coalesce("whole", "label").alias("label"), "fine")

@@ -26,7 +26,9 @@ SAME_SHAPE = (
     ("аеорсухѕіјԁԛԝһ", "aeopcyxsijdqwh"),
     # Greek drawn like Latin
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "ABEZHIKMNOPTYXC"),
-    ("οϲϳ", "ocj"),
+    ("οϲϳρν", "ocjpv"),
+    # Armenian and the palochka
+    ("օӀ", "oI"),
     # Arabic letters that differ only in their code
     ("یک", "يك"),
     # signs
@@ -72,13 +74,15 @@ def _tables() -> tuple[dict[int, str], dict[int, str], np.ndarray]:
                     first[code] = full
     first |= {ord(c): s for c, s in WRITTEN_OUT.items()}
     shape = {ord(a): b for left, right in SAME_SHAPE for a, b in zip(left, right, strict=True)}
+    # second halves of canonical compositions, spacing marks among them
+    seconds = {int(d.split()[1], 16) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and (d := unicodedata.decomposition(chr(c))) and d[0] != "<" and " " in d}
     # a replacement may itself have a look-alike or stand for several signs
     unstable = []
     for code in range(sys.maxunicode + 1):
         if 0xD800 <= code < 0xE000:
             continue
         char = chr(code)
-        if code in first or code in shape:
+        if code in first or code in shape or code in seconds:
             unstable.append(code)
             continue
         if code < 0x300 and code < 0xC0:
@@ -87,7 +91,7 @@ def _tables() -> tuple[dict[int, str], dict[int, str], np.ndarray]:
             unstable.append(code)
         elif unicodedata.decomposition(char) and not unicodedata.decomposition(char).startswith("<"):
             d = unicodedata.normalize("NFD", char)
-            if not unicodedata.is_normalized("NFC", char) or any(ord(c) in shape for c in d):
+            if not unicodedata.is_normalized("NFC", char) or any(ord(c) in shape or ord(c) in first for c in d):
                 unstable.append(code)
     check = np.zeros(sys.maxunicode + 1, dtype=bool)
     check[[*unstable, ord("\r")]] = True
@@ -99,7 +103,7 @@ def _canonical_segment(segment: str) -> str:
     first, shape, _ = _tables()
     if "\r" in segment:
         segment = segment.replace("\r\n", "\n").replace("\r", "\n")
-    letters = unicodedata.normalize("NFD", segment.translate(first))
+    letters = unicodedata.normalize("NFD", unicodedata.normalize("NFD", segment).translate(first))
     return unicodedata.normalize("NFC", letters.translate(shape))
 
 

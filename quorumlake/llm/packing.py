@@ -86,20 +86,21 @@ def best_assignment(sizes: list[int], capacity: int) -> list[int]:
     return best[1]
 
 
-def pack_items(items: DataFrame, id_column: str, size_column: str, capacity: int, shard_tokens: int = 8_000_000) -> DataFrame:
+def pack_items(items: DataFrame, id_column: str, size_column: str, capacity: int, shard_tokens: int = 2_000_000) -> DataFrame:
     """Containers and order of all items: rows (container, slot, item_id, piece,
     first_token, n_tokens, container_tokens).
 
-    Items of no tokens (null or 0) need no room and are in no container; repeated
-    rows are items of their own only if their ids differ (an id is packed once,
-    with its largest size). Shards are formed by hash, so every shard sees the same
-    mix of sizes, and hold about ``shard_tokens``: a few thousand containers, of
-    which at most the last few are not full.
+    Items of no tokens (null, 0 or less) need no room and are slots of length 0 in a
+    container of their shard; repeated rows are items of their own only if their ids
+    differ (an id is packed once, with its largest size). Shards are formed by hash, so
+    every shard sees the same mix of sizes, and hold about ``shard_tokens``: by default
+    about a thousand containers, packed by one task. A shard may need a container more
+    than its tokens, one in a thousand; a larger shard loses less and takes longer.
     """
-    sized = items.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).cast("bigint").alias("item_id")).agg(F.max(F.col(size_column).cast("bigint")).alias("size")).where("size > 0")
+    sized = items.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).cast("bigint").alias("item_id")).agg(F.greatest(F.max(F.col(size_column).cast("bigint")), F.lit(0)).cast("bigint").alias("size")).fillna(0, ["size"])
     total = sized.agg(F.sum("size")).head()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    pieces = sized.select("item_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / capacity))).alias("piece"), "size")
+    pieces = sized.select("item_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.floor((F.col("size") - 1) / capacity), F.lit(0)))).alias("piece"), "size")
     pieces = pieces.select("item_id", "piece", (F.col("piece") * capacity).alias("first_token"), F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("bigint").alias("n_tokens"))
     full = pieces.where(F.col("n_tokens") == capacity).select(
         F.concat(F.lit("f"), "item_id", F.lit("/"), "piece").alias("container"), F.lit(0).cast("bigint").alias("slot"), "item_id", "piece", "first_token", "n_tokens", F.lit(capacity).cast("bigint").alias("container_tokens")
@@ -135,4 +136,4 @@ def pack_items(items: DataFrame, id_column: str, size_column: str, capacity: int
             }
         )
 
-    return full.unionByName(rest.groupBy("shard").applyInArrow(pack, PACKED))
+    return full.unionByName(rest.repartition(shards, "shard").groupBy("shard").applyInArrow(pack, PACKED))

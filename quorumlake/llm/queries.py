@@ -47,7 +47,7 @@ def p1_unmatched(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.similarity_clusters(table(spark, sf, "cluster_result"), "row_no", "embeddings")
+    return clusters.similarity_clusters(table(spark, sf, "cluster_result"), "row_no", "embeddings", dims=48)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

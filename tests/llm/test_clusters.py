@@ -31,7 +31,7 @@ def planted(seed=4):
 def found(spark):
     rows, want = planted()
     df = spark.createDataFrame(rows, "row bigint, vec array<float>").repartition(5)
-    return similarity_clusters(df, "row", "vec").persist(), want
+    return similarity_clusters(df, "row", "vec", 48).persist(), want
 
 
 def test_groups_are_whole_and_apart(found):
@@ -49,7 +49,7 @@ def test_description(found):
 
 def test_empty(spark):
     df = spark.createDataFrame([], "row bigint, vec array<float>")
-    assert similarity_clusters(df, "row", "vec").count() == 0
+    assert similarity_clusters(df, "row", "vec", 48).count() == 0
 
 
 def test_labels_travel_along_chains(spark):
@@ -63,3 +63,28 @@ def test_unfinished_labels_are_an_error(spark):
     with pytest.raises(RuntimeError):
         propagate_minimum(chain, rounds=2)
     assert {r["label"] for r in propagate_minimum(chain).collect()} == {0}
+
+
+def test_vectors_of_another_length(spark):
+    same = [(i, [0.0] * i + [1.0] + [0.0] * (63 - i)) for i in range(3)] + [(i, [0.0] * 10 + [2.0] * 54) for i in range(10, 18)]
+    df = spark.createDataFrame(same, "row bigint, vec array<double>")
+    assert {(r["id"], r["first_id"], r["size"]) for r in similarity_clusters(df, "row", "vec", 64).collect()} == {(i, 10, 8) for i in range(10, 18)}
+
+
+def test_agrees_with_brute_force(spark):
+    """Every pair of a random set at the same cut: nothing is lost, whatever the partitions."""
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(60, 48))
+    x = np.vstack([c / np.linalg.norm(c) + rng.normal(size=(int(rng.integers(1, 30)), 48)) * 0.025 for c in centers])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    label = np.arange(len(u))
+    near = u @ u.T >= 0.86
+    while True:
+        lower = np.array([label[row].min() for row in near])
+        if (lower == label).all():
+            break
+        label = lower
+    want = {i: int(v) for i, v in enumerate(label) if (label == v).sum() >= 4}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row bigint, vec array<double>")
+    for parts in (1, 7):
+        assert {r["id"]: r["first_id"] for r in similarity_clusters(df.repartition(parts), "row", "vec", 48).collect()} == want

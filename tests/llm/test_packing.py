@@ -39,9 +39,11 @@ def test_items_are_whole_and_complete(spark):
     for r in out:
         by_item.setdefault(r["item_id"], []).append(r)
         by_container.setdefault(r["container"], []).append(r)
-    assert set(by_item) == {i for i, n in rows if n}
+    assert set(by_item) == {i for i, _ in rows}
     for i, n in rows:
-        if n:
+        if not n:  # an item of no tokens is one slot of length 0
+            assert [(p["piece"], p["first_token"], p["n_tokens"]) for p in by_item[i]] == [(0, 0, 0)]
+        else:
             pieces = sorted(by_item[i], key=lambda r: r["piece"])
             assert sum(p["n_tokens"] for p in pieces) == n and [p["first_token"] for p in pieces] == [100 * k for k in range(len(pieces))]
             assert len(pieces) == -(-n // 100)
@@ -49,3 +51,8 @@ def test_items_are_whole_and_complete(spark):
         assert sum(r["n_tokens"] for r in held) == held[0]["container_tokens"] <= 100
         assert sorted(r["slot"] for r in held) == list(range(len(held)))
     assert pack_items(df.limit(0), "slot", "n", 100).count() == 0
+
+
+def test_only_empty_items(spark):
+    out = pack_items(spark.createDataFrame([(1, None), (2, 0), (None, 5)], "id bigint, n int"), "id", "n", 10).collect()
+    assert sorted((r["item_id"], r["slot"], r["container_tokens"]) for r in out) == [(1, 0, 0), (2, 1, 0)]
