@@ -7,6 +7,8 @@ same rules as in the catalogue.
 
 from __future__ import annotations
 
+from quorumlake.plans.problems import split_sql
+
 _DATE = "coalesce(try_strptime(left({c}, 10), '%Y-%m-%d'), try_strptime(left({c}, 10), '%d/%m/%Y'), try_strptime(left({c}, 8), '%Y%m%d'))::date"
 _TS = "coalesce(try_cast(replace({c}, 'T', ' ') as timestamp), try_cast(replace({c}, 'T', ' ') || ':00' as timestamp))"
 
@@ -22,6 +24,7 @@ def _stage(linked: str, has_second: str) -> str:
         when decision = 'לקבל את ההסתייגות' then 'reservation' when decision = 'לדחות את ההצעה' then if({has_second}, 'reservation', 'preliminary') else 'other' end"""
 
 
+_KEY = r"array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace({c}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda w: w <> '')), ' ')"
 _VOTE_GAPS = "source_knesset_num plenum_session_id item_id lu_item_type vote_datetime item_title decision reading accepted"
 
 
@@ -62,6 +65,8 @@ _CTES = {
     "svc": "select member_id, knesset_num, min(vote_date) first_date, max(vote_date) last_date, max_by(party_id, (vote_date, party_id)) filter (party_id is not null and vote_date is not null) last_party_id, count(*) n_ballots from bx where member_id is not null group by 1, 2",
     "could": "select s.*, (select count(*) from vote v where v.knesset_num = s.knesset_num and has_ballots and vote_date between first_date and last_date) eligible from svc s where first_date is not null",
     "member": "select member_id, min(member_name) member_name from dim_members group by 1",
+    "named": rf"""select distinct bill_id, name, {_KEY.format(c="regexp_replace(regexp_replace(name, '" + chr(92) + "s*[(" + chr(92) + "[].*?[)" + chr(92) + "]]', '', 'g'), '^(ד\"ר|עו\"ד|ח\"כ|רו\"ח|פרופ'')" + chr(92) + "s+', '')")} key from (select bill_id, unnest({split_sql('initiators')}) name from bill where proposal_type = 'פרטית' and initiators is not null)""",
+    "initiator": f"select bill_id, name, coalesce(by_name, by_key) member_id from named left join (select member_name name, min(member_id) by_name from member group by 1) using (name) left join (select {_KEY.format(c='member_name')} key, min(member_id) by_key from member group by 1) using (key)",
     "party": "select party_id, faction_name party_name, (length(party_id) % 5 + 1)::int color_index from (select party_id, faction_name, count(distinct knesset_num) n from faction_lineage group by all) qualify row_number() over (partition by party_id order by n desc, faction_name) = 1",
     "last_vote": "select bill_id, max_by(vote_id, (ts, vote_id)) last_vote_id from vote_bill where ts is not null group by 1",
     "counted_tag": "select distinct vote_id, concept_id from vote_bill join tag using (bill_id) where stage in ('preliminary', 'first', 'third')",
@@ -75,6 +80,7 @@ _CTES = {
 BASE = "with " + ",\n".join(f"{name} as materialized ({text})" for name, text in _CTES.items()) + "\n"
 
 _K, _M, _P, _CO, _V = "(select k from term_pick)", "(select m from member_pick)", "(select p from party_pick)", "(select c from concept_pick)", "(select v from vote_pick)"
+_MINISTER = "(select member_id from dim_governments where member_id is not null group by 1 order by count(*) desc, 1 limit 1)"
 _COUNTED = "('preliminary', 'first', 'third')"
 _FA = "choice in ('for', 'against')"
 _MY = f"bx.member_id = {_M}"
@@ -126,6 +132,9 @@ _SELECTS = {
     "q19_mk_similar": f"""select z.member_id, member_name, z.party_id, party_name, color_index, n_common, agreement, z.party_id is distinct from (select max_by(last_party_id, knesset_num) filter (last_party_id is not null) from svc where member_id = {_M}) cross_party
         from (select o.member_id, max_by(party_id, (vote_date, party_id)) filter (party_id is not null) party_id, count(*) n_common, round(avg(if(o.choice = mine.choice, 1, 0)), 6) agreement from bx o join (select vote_id, choice from bx where {_MY} and {_FA}) mine using (vote_id)
         where o.member_id <> {_M} and o.choice in ('for', 'against') and o.vote_id in (select vote_id from bloc) group by 1 having count(*) >= 100) z join member using (member_id) left join party on party.party_id = z.party_id order by agreement desc, n_common desc, z.member_id limit 20""",
+    "v10_bill_initiators": "select * from initiator",
+    "q20_mk_bills": f"select bill_id, name, status, case when passed then 'passed' when first_reading_date is not null then 'first' else 'preliminary' end reached, last_vote_id from bill left join last_vote using (bill_id) where bill_id in (select bill_id from initiator where member_id = {_M})",
+    "q42_party_bills": f"select bill_id, name, status, passed, last_vote_id from bill b left join last_vote using (bill_id) where exists (from initiator n join svc using (member_id) where n.bill_id = b.bill_id and svc.knesset_num = b.knesset_num and last_party_id = {_P})",
     "q21_mk_stints": f"select knesset_num, stint_faction faction_name, since::varchar start_date from stint where since is not null and member_id = {_M} and knesset_num >= 16",
     "q22_coverage": "select knesset_num, count(*) votes, count(distinct vote_date) \"days\", count(*) filter (where stage = 'third') finals, min(vote_date)::varchar first_date, max(vote_date)::varchar last_date from vote group by 1",
     "q23_concept": f"select *, (select count(distinct vote_id) from tag t join vote_bill using (bill_id) where t.concept_id = {_CO}) n_votes from concept where concept_id = {_CO}",
@@ -160,6 +169,10 @@ _SELECTS = {
     "q51_votes_summary": f"select count(*) n, round(avg(accepted::int), 6) accepted_share, count(*) filter (where n_against >= 10) contested from vote where knesset_num = {_K} and stage = 'first' and item_title ilike '%חוק%'",
     "c01_laws_wide": "select year(first_vote_date)::int \"year\", count(*) filter (where passed) n_passed, count(*) filter (where not passed) n_other from bill where first_vote_date is not null group by 1",
     "c02_concepts_wide": "select \"year\", " + ", ".join(f"count(distinct if(rn = {i}, bill_id, null)) c{i}" for i in range(1, 6)) + " from (select year(first_vote_date)::int \"year\", rn, bill_id from (select concept_id, row_number() over (order by n_bills desc, concept_id) rn from concept where not is_generic order by rn limit 5) join tag using (concept_id) join bill using (bill_id) where first_vote_date is not null) group by 1",
+    "c05_evidence_by_bill": f"select bill_id, list(bullet order by not coalesce(is_primary, false), bullet) bullets from {_EVIDENCE} where concept_id = {_CO} group by 1",
+    "c06_concept_uncounted": f"select coalesce(sum(n) filter (where stage in ('reservation', 'second')), 0)::bigint n_contested_uncounted, coalesce((select count(distinct vote_id) from vote_bill join tag using (bill_id) where concept_id = {_CO} and stage in {_COUNTED} and n_against > 0), 0) = 0 all_consensus from (select stage, count(distinct vote_id) n from vote_bill join tag using (bill_id) where concept_id = {_CO} and n_against > 0 group by 1)",
+    "c07_position_titles": f"select title, max({_DATE.format(c='start_date')}) latest from (select *, concat_ws(' - ', position_name, nullif(trim(ministry_name), '')) title from dim_governments where member_id = {_MINISTER}) group by 1 order by latest desc nulls last, title limit 8",
+    "c08_served_in_term": f"select knesset_num, exists (from dim_governments g where g.member_id = s.member_id and {_DATE.format(c='start_date')} <= last_date and ({_DATE.format(c='finish_date')} is null or {_DATE.format(c='finish_date')} >= first_date)) in_government from svc s where member_id = {_MINISTER}",
     "c04_member_median": f"select round(median(round(n_ballots / eligible, 6)), 6) median_participation from could join member using (member_id) where knesset_num = {_K} and eligible > 0",
     "c11_coalition_seats": f"select coalesce(sum(if(x >= 0.5, n, 0)), 0)::bigint seats from (select last_party_id party_id, count(*) n from could where knesset_num = {_K} and eligible > 0 group by 1) join (select party_id, avg(is_coalition::int) x from pv where knesset_num = {_K} group by 1) using (party_id)",
     "c12_funnel_filled": f"select stage, coalesce(bills, 0) bills from (select unnest(['preliminary', 'first', 'third']) stage) left join (select stage, count(distinct bill_id) bills from vote_bill where knesset_num = {_K} group by 1) using (stage)",
@@ -170,9 +183,6 @@ _EXTRA = {
     "q34_concepts_trend": "two as (select min(k) k1, max(k) k2, min_by(n, k) a1, max_by(n, k) a2 from (select knesset_num k, count(distinct bill_id) n from tag join bill using (bill_id) group by 1 having n >= 50 order by 1 desc limit 2) having count(*) = 2)",
 }
 
-_REPLACED = {"q13_mk_kpi"}
-
-
 def sql(name: str) -> str:
     base = BASE.rstrip()
     if name in _EXTRA:
@@ -180,4 +190,7 @@ def sql(name: str) -> str:
     return base + "\n" + _SELECTS[name]
 
 
-ORACLE_SQL = {name: sql(name) for name in _SELECTS if name not in _REPLACED}
+_TERMS = _SELECTS["q30_concept_party_terms"]
+_SELECTS["c03_concept_terms_wide"] = f"""select knesset_num, '{{' || string_agg('"' || party_id || '":' || for_share::varchar, ',' order by party_id) || '}}' shares from ({_TERMS}) where (select count(distinct knesset_num) from ({_TERMS})) >= 2 group by 1"""
+
+ORACLE_SQL = {name: sql(name) for name in _SELECTS}

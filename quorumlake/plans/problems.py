@@ -155,6 +155,29 @@ _P7 = f"""with v as (select vote_id, max({_moment('vote_datetime')}) vt, max(kne
  k as (select distinct faction_name, l.knesset_num kn, c."start" cs, c."end" ce from faction_lineage l join coalition_membership c using(party_id,knesset_num))
  select ballot_id, coalesce(b::date::varchar,'') begin_day, coalesce(max(cs)::varchar,'') coalition_start from j left join k on j.fn=k.faction_name and j.kn=k.kn and vt::date>=cs and (ce is null or vt::date<ce) group by ballot_id,b"""
 
+
+def split_sql(c: str) -> str:
+    """The values of a packed field as a list: a value is the longest run of quoted parts,
+    bracketed parts (two deep, as deep as the test data go) and other characters."""
+    x = f"if(regexp_matches({c}, '(?s)^\\s*\\[\\s*(\".*\")?\\s*\\]\\s*$'), regexp_replace(regexp_replace({c}, '(?s)^\\s*\\[|\\]\\s*$', '', 'g'), '\\\\\"', chr(57856), 'g'), {c})"
+    x = f"regexp_replace({x}, '\\\\([\"\\\\/])', '\\1', 'g')"
+    x = f"regexp_replace({x}, '([\\p{{L}}\\p{{M}}])\"\"(\\p{{L}})', '\\1' || chr(57856) || '\\2', 'g')"
+    for n, quote in enumerate('"“”„«»'):
+        for _ in range(2):  # neighbours share a letter
+            x = f"regexp_replace({x}, '([\\p{{L}}\\p{{M}}]){quote}(\\p{{L}})', '\\1' || chr({57856 + n}) || '\\2', 'g')"
+    x = f"translate({x}, '“”„«»', '\"\"\"\"\"')"
+    x = f"regexp_replace({x}, '(^|[\\s,;/|])(?:\\(\\d+\\)|\\d+[.)])\\s+', '\\1' || chr(57888), 'g')"
+    x = f"regexp_replace({x}, '(^|\\n)[ \\t]*[-–*][ \\t]+', '\\1' || chr(57888), 'g')"
+    inner = r"[(\[][^()\[\]]*[)\]]"
+    held = rf'"[^"]*"|[(\[](?:[^()\[\]"]|"[^"]*"|{inner})*[)\]]'
+    runs = rf"regexp_extract_all({x}, '(?:{held}|[^,;/|\n\r\t،、，；•·' || chr(57888) || '])+')"
+    edge = r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$"
+    back = "translate(regexp_replace(replace(v, '\"', ''), '" + edge + "', '', 'g'), " + " || ".join(f"chr({57856 + n})" for n in range(6)) + ", '\"“”„«»')"
+    return f"list_filter(list_transform({runs}, lambda v: {back}), lambda v: v <> '')"
+
+
+_P6 = f"select distinct bill_id, unnest(generate_series(1, len(v)))::bigint pos, unnest(v) initiator from (select distinct bill_id, {split_sql('initiators')} v from dim_bills where bill_id is not null and initiators is not null) where len(v) >= 2"
+
 # rows of ballots whose vote has a link to a bill that is missing or deleted
 _P5_REPORT = f"""with d as ({_P5}), up as (select distinct row_key from d where table_name = 'bridge_vote_bills' and reason <> 'late'),
  own as (select distinct row_key from d where table_name = 'fact_ballots' and reason <> 'late'),
@@ -162,4 +185,4 @@ _P5_REPORT = f"""with d as ({_P5}), up as (select distinct row_key from d where
  both_kinds as (select *, 'direct' kind from d union all by name select *, 'inherited' kind from down)
  select table_name, column_name, period, reason, kind, count(*) n_refs, count(distinct row_key) n_rows from both_kinds group by 1, 2, 3, 4, 5"""
 
-ORACLE_SQL = {"p5_report": _P5_REPORT, "p2_found": _P2, "p2_periods": _P2_PERIODS, "p5_found": _P5, "p7_found": _P7}
+ORACLE_SQL = {"p6_found": _P6, "p5_report": _P5_REPORT, "p2_found": _P2, "p2_periods": _P2_PERIODS, "p5_found": _P5, "p7_found": _P7}
