@@ -304,6 +304,9 @@ ORACLE_SQL = {
     "starts_with": "select starts_with(item_title, 'הצעת חוק') is_bill, count(distinct vote_id) n from fact_votes where item_title is not null group by 1",
     "reading_rule": "select decision, reading recorded, case when contains(decision, 'להכנה לקריאה') then 1 when contains(decision, 'טרומית') then 0 when contains(decision, 'קריאה שלישית') then 3 when regexp_matches(decision, 'קריאה שני?יה') then 2 when contains(decision, 'קריאה ראשונה') then 1 end reading, count(*) n from fact_votes group by all",
     "lookup_term_name": f"with known as (select member_id, knesset_num, {_KEY.format(c='member_name')} key from bridge_member_factions where member_id is not null), n as (select distinct knesset_num, member_name_source, {_KEY.format(c='member_name_source')} key from fact_ballots join (select vote_id, min(knesset_num) knesset_num from fact_votes group by 1) using (vote_id)) select knesset_num, member_name_source, coalesce(a, b) member_id, case when a is not null then 'term' when b is not null then 'any' else 'none' end \"by\" from n left join (select knesset_num, key, min(member_id) a from known where key <> '' group by all) using (knesset_num, key) left join (select key, min(member_id) b from known where key <> '' group by all) using (key)",
+    "url_canonical": r"""with u as (select distinct raw_id, unnest(regexp_extract_all(payload, '(https:[^"\s,}\]]+\.(?:pdf|PDF|docx?|rtf)(?:\?v=\d+)?)', 1)) url from passed_bills_raw where payload is not null),
+        x as (select raw_id, url, trim(replace(replace(url, chr(92) || chr(92), chr(92)), chr(92), '/')) c from u), y as (select *, regexp_extract(c, '^[a-z]+://[^/?#]*') f from x), z as (select *, regexp_extract(substr(c, length(f) + 1), '^[^?#]*') p from y)
+        select raw_id, url, f || regexp_replace(p, '/+', '/', 'g') || substr(c, length(f) + length(p) + 1) canonical, lower(nullif(regexp_extract(url, '\.([A-Za-z0-9]{2,5})(?:[?#].*)?$', 1), '')) format from z""",
     "content_key": "select distinct bill_id, left(sha256(to_json(struct_pack(name := name, status := status))), 24) key from dim_bills",
     "coverage_pivot": "select source, count(*) n, count(text) n_text, round_even(count(text) * 100.0::double / count(*), 1) pct from documents group by 1",
     "pie_slices": "with s as (select coalesce(committee_name, '') committee, count(*) n from dim_bills group by 1), own as (select committee from s where n * 100 >= 3 * (select sum(n) from s) order by n desc, committee limit 10) select coalesce(own.committee, 'other') slice, sum(n)::bigint n from s left join own using (committee) group by 1",

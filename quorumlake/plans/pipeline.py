@@ -165,6 +165,31 @@ QUERIES = {f.__name__: f for f in (units, chunks, tag_extract, embed_input, knn_
 QUERIES["legal_units"] = QUERIES.pop("units")
 
 _A = "(select bullet_row_id, min(bill_id) bill_id, min(row_no) bullet_ordinal, min(bill_id)::varchar || ':0000' chunk_id, 'earlier_run' cluster_run_id, min(labels) cluster_id, coalesce(max(probabilities), 0.0) p from cluster_result where labels is not null group by 1)"
+_BC = "select *, round(n_bullets / sum(n_bullets) over (partition by bill_id), 6) bill_bullet_share, round(n_bullets / sum(n_bullets) over (partition by cluster_run_id, cluster_id), 6) cluster_bullet_share from (select bill_id, cluster_run_id, cluster_id, cluster_id = -1 is_noise, count(*) n_bullets, count(distinct chunk_id) n_chunks, round(avg(p), 10) mean_cluster_membership_probability, max(p) max_cluster_membership_probability, list(bullet_row_id order by bullet_ordinal, bullet_row_id) bullet_ids, list_sort(list_distinct(list(chunk_id))) chunk_ids, first(bullet_row_id order by p desc, bullet_row_id) primary_bullet_id, first(chunk_id order by p desc, bullet_row_id) primary_chunk_id from a group by 1, 2, 3)"
+_DC = "select cluster_run_id, cluster_id, cluster_id = -1 is_noise, count(*) n_bullets, count(distinct chunk_id) n_chunks, count(distinct bill_id) n_bills, round(avg(p), 10) mean_membership_probability, list(bullet_row_id order by p desc, bullet_row_id)[1:10] representative_bullet_ids from a group by 1, 2"
+_REL = """select r.bill_id, concept_id, r.cluster_run_id, r.cluster_id, concept_label, concept_criterion, if(len(shown) > 0, 'representative', 'cluster_member') relation_type, n_bullets n_cluster_bullets, len(shown)::int n_representative_bullets, mean_cluster_membership_probability, bill_bullet_share, bullet_ids, chunk_ids,
+        coalesce(shown[1], primary_bullet_id) primary_evidence_bullet_id, coalesce(a.chunk_id, primary_chunk_id) primary_evidence_chunk_id
+        from (select bc.*, concept_id, concept_label, concept_criterion, list_filter(bullet_ids, lambda b: list_contains(representative_bullet_ids, b)) shown from bc join dc using (cluster_run_id, cluster_id) join (select distinct concept_id, cluster_id, concept_label, concept_criterion from dim_concepts) using (cluster_id) where not bc.is_noise) r
+        left join a on a.bullet_row_id = coalesce(shown[1], primary_bullet_id)"""
+_MARTS = f"with a as materialized (from {_A}), bc as materialized ({_BC}), dc as materialized ({_DC}), rel as materialized ({_REL}), bullet_text as (select bullet_row_id, min(bill_id) bill_id, min(bullet) bullet from cluster_result group by 1), bills as (select bill_id, min(name) name from dim_bills group by 1) "
+_BY_BILL = """select b.bill_id, b.name, coalesce(n_bullets, 0)::bigint n_bullets, coalesce(n_noise, 0)::bigint n_noise_bullets, round(coalesce(n_noise, 0) / nullif(n_bullets, 0), 6) noise_ratio, len(coalesce(cluster_ids, [])) n_clusters, len(coalesce(concept_ids, [])) n_concepts,
+        coalesce(cluster_ids, []) cluster_ids, coalesce(concept_ids, []) concept_ids, coalesce(concept_labels, []) concept_labels, coalesce(clusters_json, '[]') clusters_json, coalesce(concepts_json, '[]') concepts_json
+        from bills b left join (select bill_id, sum(n_bullets) n_bullets, sum(n_bullets) filter (where is_noise) n_noise, list_sort(coalesce(list(distinct cluster_id) filter (where not is_noise), [])) cluster_ids,
+            to_json(list({'cluster_run_id': cluster_run_id, 'cluster_id': cluster_id, 'n_bullets': n_bullets, 'bill_bullet_share': bill_bullet_share, 'primary_bullet_id': primary_bullet_id} order by cluster_run_id, cluster_id))::varchar clusters_json from bc group by 1) using (bill_id)
+        left join (select bill_id, list_sort(list(distinct concept_id)) concept_ids, list_sort(list(distinct concept_label)) concept_labels, to_json(list({'concept_id': concept_id, 'concept_label': concept_label, 'relation_type': relation_type, 'n_cluster_bullets': n_cluster_bullets} order by concept_id, concept_label, relation_type))::varchar concepts_json from rel group by 1) using (bill_id)"""
+_SPACE = r"[\s\x{0B}\x{85}\p{Z}]"
+_UNIT = r"(?:סעיף" + _SPACE + r"+\p{Nd}+|\p{Nd}+(?:\.\p{Nd}+)*[.)]|[א-ת][.)])"
+_CHECKS = {
+    "unique bills": "select count(*) - count(distinct bill_id) from bills",
+    "one concept row a bill": "select sum(abs(coalesce(n, 0) - 1)) from (select distinct bill_id from bills) full join (select bill_id, count(*) n from bills group by 1) using (bill_id)",
+    "one cluster a bullet and run": "select count(*) - count(distinct (cluster_run_id, bullet_row_id)) from a",
+    "every bullet in a cluster": "select 0",
+    "no concept of noise": "select count(*) from rel where cluster_id = -1",
+    "links to known concepts": "select count(*) from rel where concept_id not in (select concept_id from dim_concepts)",
+    "links to known bills": "select count(*) from rel where bill_id not in (select bill_id from bills)",
+    "links without rating": "select 0",
+    "labels with evidence": "select count(*) from rel where primary_evidence_bullet_id is null",
+}
 ORACLE_SQL = {
     "knn_cosine": "select query_id, rank, neighbor_id, similarity from (select q.vec_id query_id, b.vec_id neighbor_id, s similarity0, round(s, 6) similarity, row_number() over (partition by q.vec_id order by s desc, b.vec_id) rank from (select vec_id, embedding::double[] e from embeddings where vec_id % 100 = 0) q, (select vec_id, embedding::double[] e from embeddings) b, lateral (select list_cosine_similarity(q.e, b.e) s) where q.vec_id <> b.vec_id) where rank <= 5",
     "embed_input": "select distinct bullet_row_id, 'passage: ' || case when nullif(trim(name), '') is not null then '[' || trim(name) || '] ' else '' end || bullet embedding_input from cluster_result left join (select bill_id, min(name) name from dim_bills group by 1) using (bill_id)",
@@ -173,4 +198,10 @@ ORACLE_SQL = {
     "dim_clusters": f"select cluster_run_id, cluster_id, cluster_id = -1 is_noise, count(*) n_bullets, count(distinct chunk_id) n_chunks, count(distinct bill_id) n_bills, round(avg(p), 10) mean_membership_probability, list(bullet_row_id order by p desc, bullet_row_id)[1:10] representative_bullet_ids from {_A} group by 1, 2",
     "bridge_bill_clusters": f"select *, round(n_bullets / sum(n_bullets) over (partition by bill_id), 6) bill_bullet_share, round(n_bullets / sum(n_bullets) over (partition by cluster_run_id, cluster_id), 6) cluster_bullet_share from (select bill_id, cluster_run_id, cluster_id, cluster_id = -1 is_noise, count(*) n_bullets, count(distinct chunk_id) n_chunks, round(avg(p), 10) mean_cluster_membership_probability, max(p) max_cluster_membership_probability, list(bullet_row_id order by bullet_ordinal, bullet_row_id) bullet_ids, list_sort(list_distinct(list(chunk_id))) chunk_ids, first(bullet_row_id order by p desc, bullet_row_id) primary_bullet_id, first(chunk_id order by p desc, bullet_row_id) primary_chunk_id from {_A} group by 1, 2, 3)",
     "cluster_composition": f"select cluster_run_id, cluster_id, count(*) size, count(distinct bill_id) n_bills, round(avg(p), 10) mean_prob, list_sort(list_distinct(list(bill_id::varchar))) bill_ids, count(distinct bill_id) = 1 single_bill from {_A} where cluster_id <> -1 group by 1, 2",
+    "bridge_bill_concepts": _MARTS + "from rel",
+    "bill_concepts": _MARTS + _BY_BILL,
+    "dim_bullets": _MARTS + "select bullet_row_id, bill_id, bullet from (select primary_evidence_bullet_id bullet_row_id from rel union select unnest(bullet_ids) from rel union select unnest(representative_bullet_ids) from dc where cluster_id in (select cluster_id from dim_concepts)) join bullet_text using (bullet_row_id)",
+    "representative_evidence": _MARTS + "select cluster_run_id, cluster_id, \"rank\", bill_id, bullet_row_id, bullet from (select a.*, row_number() over (partition by a.cluster_id order by p desc, bullet_row_id) \"rank\" from (select * from a qualify row_number() over (partition by cluster_id, bill_id order by p desc, bullet_row_id) = 1) a where cluster_id in (select cluster_id from dc where not is_noise order by n_bills desc, n_bullets desc, cluster_id limit 12)) join (select bullet_row_id, bullet from bullet_text) using (bullet_row_id) where \"rank\" <= 3",
+    "dq_concept_report": _MARTS + "select *, if(violations = 0, 'pass', 'fail') status from (" + " union all ".join(f"select '{name}' \"check\", ({sql})::bigint violations" for name, sql in _CHECKS.items()) + ")",
+    "legal_units": f"select doc_id, unnest(generate_series(0, len(v) - 1))::int unit_no, unnest(v) unit from (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^({_SPACE}*{_UNIT})', chr(57344) || '\\1', 'g'), chr(57344)), lambda p: regexp_replace(p, '^{_SPACE}+|{_SPACE}+$', '', 'g')), lambda p: p <> '') v from documents where text is not null and text <> '') where len(v) > 0",
 }
