@@ -91,8 +91,8 @@ _SERVING = f"(select s.member_id, coalesce(c.party_id, s.last_party_id) party_id
 _EVIDENCE = "(select t.bill_id, t.concept_id, t.bill_bullet_share, b.bullet_row_id, b.bullet, b.bullet_row_id = t.primary_evidence_bullet_id is_primary from (select *, unnest(list_distinct(bullet_ids)) id from tag) t join bullet_text b on b.bullet_row_id = t.id)"
 
 
-def _paged(cols: str, source: str, order: str) -> str:
-    return f"select {cols}, count(*) over () total from {source} order by {order} limit 50"
+def _paged(cols: str, source: str, order: str, number: int = 1) -> str:
+    return f"select {cols}, count(*) over () total from {source} order by {order} limit 50 offset {50 * (number - 1)}"
 
 
 _SELECTS = {
@@ -130,7 +130,7 @@ _SELECTS = {
     "q17_mk_concept_votes": f"select bx.vote_id, bx.vote_date::varchar vote_date, v.item_title, v.stage, choice, \"position\", bt.bullet from {_WITH_PARTY} join vote_bill v on v.vote_id = bx.vote_id join tag t on t.bill_id = v.bill_id and t.concept_id = {_CO} left join bullet_text bt on bt.bullet_row_id = t.primary_evidence_bullet_id where {_MY} and {_FA} and v.stage in {_COUNTED} order by v.ts desc, bx.vote_id desc limit 200",
     "q18_mk_votes": _paged("vote_id, bx.vote_date::varchar vote_date, v.item_title, bx.stage, choice, \"position\", " + _AGAINST + " against_party", f"{_WITH_PARTY} join (select vote_id, ts, item_title from vote) v using (vote_id) where {_MY}", "v.ts desc, vote_id desc, ballot_id"),
     "q19_mk_similar": f"""select z.member_id, member_name, z.party_id, party_name, color_index, n_common, agreement, z.party_id is distinct from (select max_by(last_party_id, knesset_num) filter (last_party_id is not null) from svc where member_id = {_M}) cross_party
-        from (select o.member_id, max_by(party_id, (vote_date, party_id)) filter (party_id is not null) party_id, count(*) n_common, round(avg(if(o.choice = mine.choice, 1, 0)), 6) agreement from bx o join (select vote_id, choice from bx where {_MY} and {_FA}) mine using (vote_id)
+        from (select o.member_id, max_by(party_id, (vote_date, party_id)) filter (party_id is not null and vote_date is not null) party_id, count(*) n_common, round(avg(if(o.choice = mine.choice, 1, 0)), 6) agreement from bx o join (select vote_id, choice from bx where {_MY} and {_FA}) mine using (vote_id)
         where o.member_id <> {_M} and o.choice in ('for', 'against') and o.vote_id in (select vote_id from bloc) group by 1 having count(*) >= 100) z join member using (member_id) left join party on party.party_id = z.party_id order by agreement desc, n_common desc, z.member_id limit 20""",
     "v10_bill_initiators": "select * from initiator",
     "q20_mk_bills": f"select bill_id, name, status, case when passed then 'passed' when first_reading_date is not null then 'first' else 'preliminary' end reached, last_vote_id from bill left join last_vote using (bill_id) where bill_id in (select bill_id from initiator where member_id = {_M})",
@@ -190,6 +190,29 @@ def sql(name: str) -> str:
     return base + "\n" + _SELECTS[name]
 
 
+_IN_TERM = f"knesset_num = {_K}"
+_T = "(select topic_id from bill where topic_id is not null group by 1 order by count(*) desc, 1 limit 1)"
+_ON_TOPIC = f"vote_id in (select vote_id from link join bill using (bill_id) where topic_id = {_T}) and n_against >= 10"
+_MK_VOTES = "vote_id, bx.vote_date::varchar vote_date, v.item_title, bx.stage, choice, \"position\", " + _AGAINST + " against_party"
+_MK_FROM = f"{_WITH_PARTY} join (select vote_id, ts, item_title from vote) v using (vote_id) where {_MY}"
+_PARTY_VOTES = "vote_id, v.vote_date::varchar vote_date, v.item_title, v.stage, \"position\", pv.n_for, pv.n_against, pv.n_abstain, pv.n_for + pv.n_against >= 3 and rice < 1 split"
+_VOTES = "vote_id, vote_date::varchar vote_date, item_title, stage, n_for, n_against, n_abstain, accepted"
+_SELECTS |= {
+    "q10_members_of_party": _SELECTS["q10_members"] + f" and last_party_id = {_P} and member_name ilike '%א%'",
+    "q13_mk_kpi_term": _SELECTS["q13_mk_kpi"].replace(f"from could where member_id = {_M}", f"from could where {_IN_TERM} and member_id = {_M}").replace(f"where {_MY}", f"where {_IN_TERM} and {_MY}").replace(f"from svc where member_id = {_M}", f"from svc where {_IN_TERM} and member_id = {_M}"),
+    "q14_mk_yearly_term": _SELECTS["q14_mk_yearly"].replace(f"where {_MY}", f"where {_IN_TERM} and {_MY}"),
+    "q18_mk_votes_against": _paged(_MK_VOTES, f"{_MK_FROM} and {_AGAINST}", "v.ts desc, vote_id desc, ballot_id"),
+    "q18_mk_votes_page2": _paged(_MK_VOTES, f"{_MK_FROM} and bx.{_IN_TERM}", "v.ts desc, vote_id desc, ballot_id", 2),
+    "q19_mk_similar_free": _SELECTS["q19_mk_similar"].replace("(select vote_id from bloc)", "(select vote_id from bloc where not is_bloc_vote)").replace("count(*) >= 100", "count(*) >= 10"),
+    "q28_concept_contested_few": _SELECTS["q28_concept_contested"].replace("n_against >= 10", "n_against >= 3"),
+    "q32_concepts_generic": _SELECTS["q32_concepts_list"].replace("where not is_generic", "where is_generic and concept_label ilike '%ה%'"),
+    "q39_party_kpi_term": _SELECTS["q39_party_kpi"].replace(f"where last_party_id = {_P}", f"where {_IN_TERM} and last_party_id = {_P}").replace(f"where party_id = {_P}", f"where pv.{_IN_TERM} and party_id = {_P}"),
+    "q41_party_votes_split": _paged(_PARTY_VOTES, f"pv join vote v using (vote_id) where party_id = {_P} and pv.{_IN_TERM} and pv.n_for + pv.n_against >= 3 and rice < 1", "ts desc nulls last, vote_id desc"),
+    "q41_party_votes_page2": _paged(_PARTY_VOTES, f"pv join vote v using (vote_id) where party_id = {_P}", "rice nulls last, ts desc nulls last, vote_id desc", 2),
+    "q50_votes_contested": _paged(_VOTES, f"vote where {_IN_TERM} and {_ON_TOPIC}", "ts desc nulls last, vote_id desc"),
+    "q50_votes_page2": _paged(_VOTES, f"vote where {_IN_TERM}", "ts desc nulls last, vote_id desc", 2),
+    "q51_votes_contested": f"select count(*) n, round(avg(accepted::int), 6) accepted_share, count(*) filter (where n_against >= 10) contested from vote where {_IN_TERM} and {_ON_TOPIC}",
+}
 _TERMS = _SELECTS["q30_concept_party_terms"]
 _SELECTS["c03_concept_terms_wide"] = f"""select knesset_num, '{{' || string_agg('"' || party_id || '":' || for_share::varchar, ',' order by party_id) || '}}' shares from ({_TERMS}) where (select count(distinct knesset_num) from ({_TERMS})) >= 2 group by 1"""
 

@@ -53,6 +53,11 @@ def vote(m: Model) -> int:
     return _first(v.orderBy(*nulls_last("-n", "vote_id")).select("vote_id").limit(1), -1)
 
 
+def topic(m: Model) -> str:
+    """The topic with most bills."""
+    return _first(m.bills.where("topic_id is not null").groupBy("topic_id").agg(F.count(F.lit(1)).alias("n")).orderBy(*nulls_last("-n", "topic_id")).select("topic_id").limit(1), "")
+
+
 def _text(*names: str) -> list:
     return [C(n).cast("string").alias(n) for n in names]
 
@@ -120,6 +125,21 @@ MODEL: dict[str, Callable[[Model], DataFrame]] = {
     "q49_vote_evidence": lambda m: P.vote_evidence(m, vote(m)),
     "q50_votes": lambda m: P.votes(m, term(m), stage="first", q="חוק"),
     "q51_votes_summary": lambda m: P.votes_summary(m, term(m), stage="first", q="חוק"),
+    # the same with the filters that are off above
+    "q10_members_of_party": lambda m: P.members(m, term(m), q="א", party=party(m)),
+    "q13_mk_kpi_term": lambda m: P.mk_kpi(m, member(m), term(m)),
+    "q14_mk_yearly_term": lambda m: P.mk_yearly(m, member(m), term(m)),
+    "q18_mk_votes_against": lambda m: P.mk_votes(m, member(m), against_only=True),
+    "q18_mk_votes_page2": lambda m: P.mk_votes(m, member(m), term(m), number=2),
+    "q19_mk_similar_free": lambda m: P.mk_similar(m, member(m), exclude_bloc=True, at_least=10),
+    "q28_concept_contested_few": lambda m: P.concept_contested(m, concept(m), at_least=3),
+    "q32_concepts_generic": lambda m: P.concepts_list(m, generic=True, q="ה"),
+    "q39_party_kpi_term": lambda m: P.party_kpi(m, party(m), term(m)),
+    "q41_party_votes_split": lambda m: P.party_votes(m, party(m), term(m), split_only=True),
+    "q41_party_votes_page2": lambda m: P.party_votes(m, party(m), least_cohesive=True, number=2),
+    "q50_votes_contested": lambda m: P.votes(m, term(m), topic=topic(m), contested=True),
+    "q50_votes_page2": lambda m: P.votes(m, term(m), number=2),
+    "q51_votes_contested": lambda m: P.votes_summary(m, term(m), topic=topic(m), contested=True),
 }
 
 
