@@ -114,7 +114,8 @@ class Model:
     # facts -------------------------------------------------------------------
     @cached_property
     def ballots(self) -> DataFrame:
-        return first_delivery(self.raw("fact_ballots").select("ballot_id", "vote_id", "member_id", "source_faction_name", "vote_result_id", "loaded_at"), "ballot_id")
+        b = self.raw("fact_ballots").select("ballot_id", "vote_id", "member_id", "source_faction_name", "vote_result_id", "loaded_at")
+        return self._keep(first_delivery(b, "ballot_id"), "ballots")
 
     @cached_property
     def links(self) -> DataFrame:

@@ -8,6 +8,7 @@ same rules as in the catalogue.
 from __future__ import annotations
 
 from quorumlake.plans.problems import split_sql
+from quorumlake.plans.quality import report_sql
 
 _DATE = "coalesce(try_strptime(left({c}, 10), '%Y-%m-%d'), try_strptime(left({c}, 10), '%d/%m/%Y'), try_strptime(left({c}, 8), '%Y%m%d'))::date"
 _TS = "coalesce(try_cast(replace({c}, 'T', ' ') as timestamp), try_cast(replace({c}, 'T', ' ') || ':00' as timestamp))"
@@ -216,4 +217,11 @@ _SELECTS |= {
 _TERMS = _SELECTS["q30_concept_party_terms"]
 _SELECTS["c03_concept_terms_wide"] = f"""select knesset_num, '{{' || string_agg('"' || party_id || '":' || for_share::varchar, ',' order by party_id) || '}}' shares from ({_TERMS}) where (select count(distinct knesset_num) from ({_TERMS})) >= 2 group by 1"""
 
+_GAPS = {
+    "fact_votes": _VOTE_GAPS + " counter_total",
+    "fact_ballots": "member_id source_faction_name",
+    "dim_bills": "name status initiators proposal_type committee_name commencement_date summary publication_date previous_names",
+}
+
 ORACLE_SQL = {name: sql(name) for name in _SELECTS}
+ORACLE_SQL["dq_report"] = report_sql(lambda table, key: _once(table, key, _GAPS[table]), _TS, _KEY)
