@@ -67,6 +67,9 @@ REFERENCES = [
     Reference("bridge_bill_concepts", "concept_id", "bill_id", "dim_concepts", "concept_id"),
 ]
 
+#: A ballot also depends on the links of its vote.
+LINKS = Reference("fact_ballots", "vote_id", "ballot_id", "bridge_vote_bills", "vote_id", inherit_only=True)
+
 
 def _orphans(spark: SparkSession, sf: str, refs: list[Reference]) -> DataFrame:
     names = dict.fromkeys([*(r.table for r in refs), *(r.target for r in refs)])
@@ -74,15 +77,15 @@ def _orphans(spark: SparkSession, sf: str, refs: list[Reference]) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    """References whose key is missing, deleted or arrived later."""
-    return _orphans(spark, sf, REFERENCES).where("kind = 'direct'").select("table_name", "column_name", "row_key", "missing_key", "reason", "period")
+    """References whose key is missing, deleted or arrived later: the direct rows of the
+    cascade that :func:`p5_report` counts."""
+    return _orphans(spark, sf, [*REFERENCES, LINKS]).where("kind = 'direct'").select("table_name", "column_name", "row_key", "missing_key", "reason", "period")
 
 
 def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     """Broken references per table, column, period and reason, direct and inherited:
     a ballot of a vote whose link to a bill is broken inherits it."""
-    links = Reference("fact_ballots", "vote_id", "ballot_id", "bridge_vote_bills", "vote_id", inherit_only=True)
-    return orphan_report(_orphans(spark, sf, [*REFERENCES, links]))
+    return orphan_report(_orphans(spark, sf, [*REFERENCES, LINKS]))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
