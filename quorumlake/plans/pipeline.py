@@ -130,6 +130,26 @@ def dim_bullets(spark, sf) -> DataFrame:
     return marts.dim_bullets(links, _concepts(spark, sf), b)
 
 
+def provenance(spark, sf) -> DataFrame:
+    """Representative bullets of every concept with their text, gaps included."""
+    b = table(spark, sf, "cluster_result").groupBy("bullet_row_id").agg(F.min("bill_id").alias("bill_id"), F.min("bullet").alias("bullet"))
+    return marts.provenance(_concepts(spark, sf), b)
+
+
+def foreign_evidence(spark, sf) -> DataFrame:
+    """Evidence of bills for concepts that the earlier run put in another cluster, counted
+    per concept."""
+    shown = table(spark, sf, "bridge_bill_concepts").where("primary_evidence_bullet_id is not null").select("concept_id", "cluster_id", C("primary_evidence_bullet_id").alias("bullet_row_id")).distinct()
+    return marts.foreign_examples(shown, _assigned(spark, sf), "cluster_id", "bullet_row_id").groupBy("concept_id").agg(F.count(F.lit(1)).alias("n_foreign"))
+
+
+def knn_within_label(spark, sf) -> DataFrame:
+    """The nearest vectors of :func:`knn_cosine` that carry the asked vector's label."""
+    labels = table(spark, sf, "embeddings").select("vec_id", "label")
+    near = knn_cosine(spark, sf).join(labels.select(C("vec_id").alias("query_id"), C("label").alias("own")), "query_id").join(labels.select(C("vec_id").alias("neighbor_id"), "label"), "neighbor_id")
+    return near.where(C("own").eqNullSafe(C("label"))).select("query_id", "rank", "neighbor_id", "similarity")
+
+
 def dq_report(spark, sf) -> DataFrame:
     return quality.quality_report(Model.of(spark, sf))
 
@@ -161,7 +181,7 @@ def doc_select(spark, sf) -> DataFrame:
     return marts.select_documents(t["record"].select(C("record_id").alias("bill_id")).distinct(), docs)
 
 
-QUERIES = {f.__name__: f for f in (units, chunks, tag_extract, embed_input, knn_cosine, density_run, dim_clusters, bridge_bill_clusters, bridge_bill_concepts, bill_concepts, cluster_composition, candidate_table, representative_evidence, bullet_accounting, dim_bullets, dq_report, collection_summary, dq_concept_report, doc_select)}
+QUERIES = {f.__name__: f for f in (units, chunks, tag_extract, embed_input, knn_cosine, density_run, dim_clusters, bridge_bill_clusters, bridge_bill_concepts, bill_concepts, cluster_composition, candidate_table, representative_evidence, bullet_accounting, dim_bullets, provenance, foreign_evidence, knn_within_label, dq_report, collection_summary, dq_concept_report, doc_select)}
 QUERIES["legal_units"] = QUERIES.pop("units")
 
 _A = "(select bullet_row_id, min(bill_id) bill_id, min(row_no) bullet_ordinal, min(bill_id)::varchar || ':0000' chunk_id, 'earlier_run' cluster_run_id, min(labels) cluster_id, coalesce(max(probabilities), 0.0) p from cluster_result where labels is not null group by 1)"
@@ -204,4 +224,7 @@ ORACLE_SQL = {
     "representative_evidence": _MARTS + "select cluster_run_id, cluster_id, \"rank\", bill_id, bullet_row_id, bullet from (select a.*, row_number() over (partition by a.cluster_id order by p desc, bullet_row_id) \"rank\" from (select * from a qualify row_number() over (partition by cluster_id, bill_id order by p desc, bullet_row_id) = 1) a where cluster_id in (select cluster_id from dc where not is_noise order by n_bills desc, n_bullets desc, cluster_id limit 12)) join (select bullet_row_id, bullet from bullet_text) using (bullet_row_id) where \"rank\" <= 3",
     "dq_concept_report": _MARTS + "select *, if(violations = 0, 'pass', 'fail') status from (" + " union all ".join(f"select '{name}' \"check\", ({sql})::bigint violations" for name, sql in _CHECKS.items()) + ")",
     "legal_units": f"select doc_id, unnest(generate_series(0, len(v) - 1))::int unit_no, unnest(v) unit from (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^({_SPACE}*{_UNIT})', chr(57344) || '\\1', 'g'), chr(57344)), lambda p: regexp_replace(p, '^{_SPACE}+|{_SPACE}+$', '', 'g')), lambda p: p <> '') v from documents where text is not null and text <> '') where len(v) > 0",
+    "provenance": _MARTS + "select concept_id, n - 1 ordinal, bullet_row_id, b.bullet_row_id is not null resolved, bill_id, bullet from (select distinct concept_id, unnest(generate_series(1, len(representative_bullet_ids)))::int n, unnest(representative_bullet_ids) bullet_row_id from dim_concepts join dc using (cluster_id)) left join bullet_text b using (bullet_row_id)",
+    "foreign_evidence": f"select concept_id, count(*) n_foreign from (select distinct concept_id, cluster_id, primary_evidence_bullet_id bullet_row_id from bridge_bill_concepts where primary_evidence_bullet_id is not null) where (cluster_id, bullet_row_id) not in (select (cluster_id, bullet_row_id) from {_A}) group by 1",
+    "knn_within_label": "select query_id, rank, neighbor_id, similarity from (select q.vec_id query_id, b.vec_id neighbor_id, q.label is not distinct from b.label same, round(s, 6) similarity, row_number() over (partition by q.vec_id order by s desc, b.vec_id) rank from (select vec_id, label, embedding::double[] e from embeddings where vec_id % 100 = 0) q, (select vec_id, label, embedding::double[] e from embeddings) b, lateral (select list_cosine_similarity(q.e, b.e) s) where q.vec_id <> b.vec_id) where rank <= 5 and same",
 }

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quorumlake.operators.chunking import JOINT, Span, embedding_input, legal_units, pack_units, split_long, spans_column, tagged_items, whole_document_budget, word_count
+from quorumlake.operators.chunking import JOINT, Span, embedding_input, legal_units, pack_units, split_long, spans_column, tagged_items, truncate, whole_document_budget, word_count
 from quorumlake.operators import vectors
 from quorumlake.operators.nested import flatten_nested
 from quorumlake.operators.vectors import DensityConfig, density_labels, nearest_neighbors
@@ -38,6 +38,7 @@ def test_whole_document_is_one_chunk(spark):
     assert [(u.text, u.heading_path, u.page_no) for u in units] == [("1. x", "א > ב", 3), ("2. y", "א > ב", 3), ("z", "א > ב", 3)]
     assert pack_units(units, 100) == [units]
     assert split_long("aa bb cc", 2, word_count) == ["aa bb", "cc"]
+    assert truncate("aa bb cc", 2) == "aa bb" and truncate("  ", 2) == "" and truncate("aa", 0) == ""
     assert whole_document_budget(1000, 100, 50) == 850
     with pytest.raises(ValueError):
         whole_document_budget(10, 10, 0)
@@ -242,3 +243,12 @@ def test_concept_lists_must_be_unique(spark):
     assert marts.at_most_one(twice, "k").count() == 2
     with pytest.raises(Exception, match="more than one row"):
         marts.at_most_one(twice.union(spark.createDataFrame([(2, "c")], "k int, v string")), "k").collect()
+
+
+def test_provenance_and_foreign_examples(spark):
+    concepts = spark.createDataFrame([("c", ["a", "gone"]), ("d", [])], "concept_id string, representative_bullet_ids array<string>")
+    bullets = spark.createDataFrame([("a", 1, "x")], "bullet_row_id string, bill_id bigint, bullet string")
+    assert {tuple(r) for r in marts.provenance(concepts, bullets).collect()} == {("c", 0, "a", True, 1, "x"), ("c", 1, "gone", False, None, None)}
+    members = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k int, i string")
+    given = spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "k int, i string")
+    assert {tuple(r) for r in marts.foreign_examples(given, members, "k", "i").collect()} == {(1, "b"), (2, None)}
